@@ -29,7 +29,8 @@ def directory(slots: DataFrame, capacity: int, max_depth: int) -> DataFrame:
         "first", F.expr(f"(cell div shiftleft(1L, {max_depth} - depth)) * shiftleft(1L, {max_depth} - depth)")
     )
     totals = levels.groupBy("depth", "first").agg(F.sum("n").alias("held"))
-    fits = levels.join(totals, ["depth", "first"]).where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
+    placed = levels.join(F.broadcast(totals), ["depth", "first"])  # under 2 ** (max_depth + 1) rows
+    fits = placed.where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
     return fits.groupBy("cell").agg(F.min(F.struct("depth", "first")).alias("b")).select("cell", F.col("b.first").alias("bucket"), F.col("b.depth").alias("depth"))
 
 

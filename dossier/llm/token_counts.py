@@ -14,7 +14,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes that go to the encoder in one batch.
 BATCH_BYTES = 1 << 20
 #: Words whose counts a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 TOKEN_LIMIT = 2048
 
 
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             ends = np.cumsum(sizes, dtype=np.int64)
             while start < len(texts):  # parts of about as many bytes, at least a text each
                 before = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + 8 * BATCH_BYTES, "right")))
+                stop = max(start + 1, int(np.searchsorted(ends, before + 4 * BATCH_BYTES, "right")))
                 counts += counter.count(texts.slice(start, stop - start).to_pylist())
                 start = stop
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["_id", "n_bytes", "n_tokens"])
