@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
-from itertools import product
 from random import Random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from dossier.llm.common import WORD, materialize
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Documents of a source that fly together, about.
 BLOCK = 4096
+#: Documents of a block that do not fly.
+RESERVE = 10
 _EPS = 1e-9
 
 
@@ -57,16 +60,25 @@ def move(units: list[list], random: Random) -> None:
 
 
 def land(units: list[list]) -> None:
-    """The two units or fewer that are left go to the corner whose tokens, then documents, are nearest."""
-    tokens, documents = sum(x[0] * x[1] for x in units), sum(x[0] for x in units)
-    best = min(product((0, 1), repeat=len(units)), key=lambda s: (abs(sum(q * x[1] for q, x in zip(s, units)) - tokens), abs(sum(s) - documents), s))
+    """The few units that are left go to the corner whose tokens, then documents, are nearest."""
+    if not units:
+        return
+    corners = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+    p, size = np.array([x[0] for x in units]), np.array([x[1] for x in units], float)
+    off, short = np.abs((corners - p) @ size), np.abs((corners - p).sum(1))
+    best = corners[np.lexsort((short.round(6), off.round(3)))[0]]
     for x, q in zip(units, best):
         x[0] = float(q)
 
 
 def fly(rows: Iterator[tuple], last: bool) -> Iterator[tuple]:
-    """rows: (group, p, size, rest), groups together, in a fixed order. Yields (p, size, rest), where p is 0 or 1 for all but two rows of a group, for all if last. Holds three rows at a time."""
-    group, units, random = None, [], Random(0)
+    """rows: (group, p, size, rest), groups together, in a fixed order.
+
+    Yields (p, size, rest), where p is 0 or 1 for all but RESERVE + 2 rows of a group, for all if last. The
+    reserve stays on the ground, so that landing has corners enough to choose from. Holds no more rows
+    than that at a time.
+    """
+    group, units, waiting, random = None, [], deque(), Random(0)
 
     def settled():
         for x in units[:]:
@@ -76,17 +88,23 @@ def fly(rows: Iterator[tuple], last: bool) -> Iterator[tuple]:
                 yield tuple(x)
 
     def ends():
+        left = units + [x for x in waiting if 0 < x[0] < 1]
         if last:
-            land(units)
-        yield from (tuple(x) for x in units)
+            land(left)
+        yield from (tuple(x) for x in left)
         units.clear()
+        waiting.clear()
 
     for g, p, size, rest in rows:
         if g != group:
             yield from ends()
             group, random = g, Random(hash(g))
-        units.append([p, size, rest])
-        yield from settled()
+        if p < _EPS or p > 1 - _EPS:
+            yield float(p > 0.5), size, rest
+            continue
+        waiting.append([p, size, rest])
+        if len(waiting) > RESERVE:
+            units.append(waiting.popleft())
         while len(units) == 3:
             move(units, random)
             yield from settled()
@@ -98,10 +116,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document is taken `target / source_size` times on average: the whole part for certain, the rest by
     the cube method, which keeps each source's taken words and documents at their expected totals until
-    two documents of the source are left to land. Blocks of a source fly on their own; what they leave
+    a dozen documents of the source are left to land. Blocks of a source fly on their own; what they leave
     flies again in fewer blocks, so no task and not the driver ever holds a source. Random
-    numbers come from block numbers, blocks from hashes of ids, so reruns agree. Large documents fly
-    first, so the two that land are small.
+    numbers come from block numbers, blocks from hashes of ids, so reruns agree.
 
     A null text has size 0 and takes 0 words; a null source is one source, the last; rows that repeat an
     id are drawn one by one; other columns are ignored; an empty table gives an empty result.
@@ -145,7 +162,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     left, done, blocks = drawn.select(*columns), [], max(1, -(-largest // block))
     while True:
-        flown = left.repartition("rank", "block").sortWithinPartitions("rank", "block", F.col("size").desc(), "order", "_id").mapInArrow(flight(blocks == 1), schema)
+        flown = left.repartition("rank", "block").sortWithinPartitions("rank", "block", "order", "_id", "size").mapInArrow(flight(blocks == 1), schema)
         flown = materialize(flown, "mix-flown")
         if blocks == 1:
             done.append(flown)
