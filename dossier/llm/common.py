@@ -48,26 +48,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
+class _Known(dict):
+    """Hashes of words, made when first asked for."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self):
         import xxhash
 
-        self.known: dict[bytes, int] = {}
-        self.most, self.hash = most, xxhash.xxh3_64_intdigest
+        super().__init__()
+        self.hash = xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = self.hash(word)
+        return made
+
+
+class WordHashes:
+    """64-bit hashes of words, remembered up to a bound."""
+
+    def __init__(self, most: int = 300_000):
+        self.known, self.most = _Known(), most
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            h = self.hash
-            for w in set(words).difference(known):
-                known[w] = h(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > self.most:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def rolling(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -105,3 +109,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         x = np.minimum(x[:-span], x[span:])
         span *= 2
     return np.minimum(x[: len(x) - (w - span)], x[w - span :]) if span < w else x
+
+
+#: Rows of ids that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """rows whose `on` is in ids (how left_anti: is not). ids is counted first: a small one spares rows their shuffle, a large one is joined by it."""
+    ids = materialize(ids.select(on).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)

@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WordHashes, lower_ascii_bytes, materialize, mix, rolling
+from dossier.llm.common import WordHashes, lower_ascii_bytes, materialize, mix, only, rolling
 from dossier.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Cells of the table of segment frequencies; a power of two. It bounds what the driver gets and sends.
 CELLS = 1 << 17
-#: Rounds that compare each bucket with one of its members, before all pairs that are still apart.
-STAR_ROUNDS = 3
+#: Members that each bucket is compared with, before all its pairs that are still apart.
+HUBS = 3
+#: Bits of a set's parity sketch. Sketches differ in no more bits than sets in shingles, so they rule pairs out exactly.
+SKETCH = 1024
 _SLICES = 16
 _SEED = np.uint64(0x5851F42D4C957F2D)
 HOT_SHARE = 0.001
@@ -48,6 +50,10 @@ def shingle_set(text: bytes | None, k: int = WORDS) -> set:
     return set(zip(*(w[j:] for j in range(k)))) if len(w) >= k else {tuple(w)} if w else set()
 
 
+def sketch(sh: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((sh & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
 def schemes(size: int, percent: int) -> Iterator[tuple[int, int]]:
     """(band, most differences) under which a set of this size is indexed: its own band, and the one below if a partner can be there."""
     part, whole = 100 - percent, 100 + percent
@@ -119,16 +125,16 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.n
 
 def _scan(k: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "n", "key", "slice", "counts"]
+        names = ["_id", "n", "key", "sketch", "slice", "counts"]
         counts = np.zeros(CELLS, np.int64)
 
         def rows(held):
             n = len(held)
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary()), pa.array([h[3] for h in held], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
 
         held, met, waiting = [], [], 0
         for i, sh, digest, first in _sets(batches, k):
-            held.append((i, len(sh), digest))
+            held.append((i, len(sh), digest, sketch(sh) if first else None))
             if first:
                 for sig in signatures(sh, percent, None):
                     met.append(sig)
@@ -143,7 +149,7 @@ def _scan(k: int, percent: int):
         if met:
             counts += np.bincount((np.concatenate(met) >> np.uint64(32)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
         parts = counts.reshape(_SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())], names)
 
     return scan
 
@@ -197,6 +203,19 @@ def _index(k: int, percent: int, heavy: np.ndarray):
     return scan
 
 
+def _near(percent: int):
+    """Keeps pairs (u, v, nu, nv, su, sv) whose sketches allow a link."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (np.frombuffer(b"".join(b.column(j).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH // 8) for j in (4, 5))
+            differ = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int64)
+            both = b.column(2).to_numpy() + b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(differ * (100 + percent) <= both * (100 - percent)))
+
+    return scan
+
+
 def _verify(k: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, set] = {}
@@ -238,7 +257,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document. Other columns are ignored; an empty table gives an empty result. ids are long.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    first = materialize(thin.mapInArrow(_scan(k, percent), "_id long, n long, key binary, slice int, counts binary"), "join-sets")
+    first = materialize(thin.mapInArrow(_scan(k, percent), "_id long, n long, key binary, sketch binary, slice int, counts binary"), "join-sets")
     rows = first.where("slice is null").select("_id", "n", "key")
     total = rows.count()
     heavy = heavy_cells(first.where("slice is not null").select("slice", "counts"))
@@ -255,38 +274,39 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = multi.join(members.where("_id <> rep").select("_id", "rep").distinct(), "_id", "left").select("sig", F.coalesce("rep", "_id").alias("rep"), "n").distinct()
     buckets = reps.withColumn("lo", F.min("rep").over(met)).withColumn("hi", F.max("rep").over(met)).where("lo < hi").select("sig", "rep", "n")
     buckets = materialize(buckets, "join-buckets")
-    texts = materialize(thin.join(buckets.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi"), "join-texts")
-
+    asked = buckets.select(F.col("rep").alias("_id")).distinct()
+    # a class's first row in some partition has its sketch
+    sketches = first.where("sketch is not null").join(members.select("_id", "rep", "n").distinct(), ["_id", "n"]).join(asked.withColumnRenamed("_id", "rep"), "rep", "left_semi")
+    sketches = materialize(sketches.groupBy("rep").agg(F.min("sketch").alias("s")), "join-sketches")
     fits = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v").join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
-        return both.select("u", "v", "tu", "tv").mapInArrow(_verify(k, percent), "u long, v long")
-
-    links, tried, found = own, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        at = buckets.withColumn("comp", F.col("rep"))
-        if found is not None:
-            at = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            at = at.withColumn("c0", F.min("comp").over(met)).withColumn("c1", F.max("comp").over(met)).where("c0 < c1").drop("c0", "c1")
-        if turn < STAR_ROUNDS:  # one member of each bucket against the others
-            hub = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("order") if turn else F.lit(0).alias("order"), F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))).over(met)
-            pairs = at.withColumn("hub", hub).select("hub.u", "hub.nu", "hub.cu", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-            pairs = pairs.where((F.col("cu") != F.col("cv")) & fits)
-        else:  # all that are still apart
-            left, right = at.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu")), at.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-            pairs = left.join(right, "sig").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits)
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "join-pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links.unionByName(materialize(verified(pairs), "join-links"))
-        found = components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    if found is None:
-        found = components(links)
+        """pairs (u, nu, v, nv), each once, that link: ruled out by sketches first, then by the texts of those that are left."""
+        both = pairs.join(sketches.select(F.col("rep").alias("u"), F.col("s").alias("su")), "u").join(sketches.select(F.col("rep").alias("v"), F.col("s").alias("sv")), "v")
+        near = materialize(both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near(percent), "u long, v long"), "join-near")
+        texts = materialize(only(thin, near.select(F.col("u").alias("_id")).union(near.select(F.col("v").alias("_id"))), "_id"), "join-texts")
+        both = near.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v").join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
+        return materialize(both.select("u", "v", "tu", "tv").mapInArrow(_verify(k, percent), "u long, v long"), "join-links")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        low = F.col("u") < F.col("v")
+        return pairs.select(F.least("u", "v").alias("u"), F.when(low, F.col("nu")).otherwise(F.col("nv")).alias("nu"), F.greatest("u", "v").alias("v"), F.when(low, F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct()
+
+    # some members of each bucket against the others
+    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("order") if j else F.lit(0).cast("long").alias("order"), F.col("rep").alias("u"), F.col("n").alias("nu"))).over(met) for j in range(HUBS)]
+    stars = buckets.withColumn("hubs", F.array(*hubs)).withColumn("hub", F.explode("hubs")).select("hub.u", "hub.nu", F.col("rep").alias("v"), F.col("n").alias("nv"))
+    stars = materialize(ordered(stars.where((F.col("u") != F.col("v")) & fits)), "join-stars")
+    links = own.unionByName(verified(stars))
+    found = components(links)
+    # then all that are still apart
+    at = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    at = at.withColumn("c0", F.min("c").over(met)).withColumn("c1", F.max("c").over(met)).where("c0 < c1")
+    left, right = at.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu")), at.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
+    apart = left.join(right, "sig").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits)
+    apart = materialize(ordered(apart).join(stars.select("u", "v"), ["u", "v"], "left_anti"), "join-apart")
+    more = verified(apart)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     # rows of large classes and components meet their one row by broadcast or a split join, on thin rows
     to = members.select(F.col("_id").alias("doc_id"), "rep").distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return rows.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles")).join(to, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
