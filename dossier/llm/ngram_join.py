@@ -11,6 +11,7 @@ count for two differences each. Sets that meet in a segment are verified exactly
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,14 @@ from dossier.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Cells of the table of segment frequencies; a power of two. It bounds what the driver gets and sends.
-CELLS = 1 << 17
+CELLS = 1 << 19
 #: Members that each bucket is compared with, before all its pairs that are still apart.
 HUBS = 3
-#: Bits of a set's parity sketch. Sketches differ in no more bits than sets in shingles, so they rule pairs out exactly.
+#: Least bits of a set's parity sketch; larger sets have the next power of two above their size. Sketches
+#: differ in no more bits than sets in shingles, so they rule pairs out exactly.
 SKETCH = 1024
+#: Members of a bucket that are compared in one piece of work.
+BLOCK = 2048
 _SLICES = 16
 _SEED = np.uint64(0x5851F42D4C957F2D)
 HOT_SHARE = 0.001
@@ -51,7 +55,16 @@ def shingle_set(text: bytes | None, k: int = WORDS) -> set:
 
 
 def sketch(sh: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((sh & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+    bits = max(SKETCH, 1 << (len(sh) - 1).bit_length()) if len(sh) else SKETCH
+    return np.packbits(np.bincount((sh & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """(n, words) the sketches, larger ones folded to size bytes: halves of a parity sketch add up to the sketch of half its bits."""
+    out = np.empty((len(sketches), size), np.uint8)
+    for j, s in enumerate(sketches):
+        out[j] = np.frombuffer(s, np.uint8) if len(s) == size else np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, size), axis=0)
+    return out.view(np.uint64)
 
 
 def schemes(size: int, percent: int) -> Iterator[tuple[int, int]]:
@@ -149,7 +162,7 @@ def _scan(k: int, percent: int):
         if met:
             counts += np.bincount((np.concatenate(met) >> np.uint64(32)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
         parts = counts.reshape(_SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([np.minimum(p, 255).astype(np.uint8).tobytes() for p in parts], pa.binary())], names)
 
     return scan
 
@@ -159,7 +172,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for b in batches:
         for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held[k] = held.get(k, 0) + np.frombuffer(x, "<i4").astype(np.int64)
+            held[k] = held.get(k, 0) + np.frombuffer(x, np.uint8).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "counts"])
 
 
@@ -208,14 +221,53 @@ def _near(percent: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(j).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH // 8) for j in (4, 5))
-            differ = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int64)
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            differ = np.zeros(b.num_rows, np.int64)
+            sizes = np.array([min(len(p), len(q)) for p, q in zip(x, y)], np.int64)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                differ[at] = np.bitwise_count(folded([x[j] for j in at], size) ^ folded([y[j] for j in at], size)).sum(axis=1, dtype=np.int64)
             both = b.column(2).to_numpy() + b.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(differ * (100 + percent) <= both * (100 - percent)))
 
     return scan
 
 
+def _apart(percent: int):
+    """Pairs of each group (sig, lo, hi) of rows (sig, lo, hi, block, rep, n, c, s) that are in different components and whose sizes and sketches allow a link."""
+
+    def of(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        lo, hi = group[0][1], group[0][2]
+        left, right = [r for r in group if r[3] == lo], [r for r in group if r[3] == hi]
+        kinds = {len(r[7]) for r in group}
+        for p in kinds:
+            for q in kinds:
+                x, y = [r for r in left if len(r[7]) == p], [r for r in right if len(r[7]) == q]
+                if not x or not y or (lo == hi and p > q):
+                    continue
+                a, b = folded([r[7] for r in x], min(p, q)), folded([r[7] for r in y], min(p, q))
+                n, c, rep = (np.array([r[j] for r in y], np.int64) for j in (5, 6, 4))
+                for j, r in enumerate(x):
+                    differ = np.bitwise_count(b ^ a[j]).sum(axis=1, dtype=np.int64)
+                    fits = (differ * (100 + percent) <= (n + r[5]) * (100 - percent)) & (c != r[6]) & (100 * np.minimum(n, r[5]) >= percent * np.maximum(n, r[5]))
+                    for v in rep[fits]:
+                        yield min(r[4], int(v)), max(r[4], int(v))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, out = [], set()
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for r in itertools.chain(rows, [None]):
+            if group and (r is None or r[:3] != group[0][:3]):
+                out.update(of(group))
+                group = []
+                if len(out) > 100_000 or r is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+                    out = set()
+            group.append(r)
+
+    return scan
+
+
 def _verify(k: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, set] = {}
@@ -280,12 +332,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = materialize(sketches.groupBy("rep").agg(F.min("sketch").alias("s")), "join-sketches")
     fits = F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (u, nu, v, nv), each once, that link: ruled out by sketches first, then by the texts of those that are left."""
+    def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sketches.select(F.col("rep").alias("u"), F.col("s").alias("su")), "u").join(sketches.select(F.col("rep").alias("v"), F.col("s").alias("sv")), "v")
-        near = materialize(both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near(percent), "u long, v long"), "join-near")
-        texts = materialize(only(thin, near.select(F.col("u").alias("_id")).union(near.select(F.col("v").alias("_id"))), "_id"), "join-texts")
-        both = near.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v").join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
+        return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near(percent), "u long, v long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (u, v), each once, that link by their texts."""
+        pairs = materialize(pairs, "join-near")
+        texts = materialize(only(thin, pairs.select(F.col("u").alias("_id")).union(pairs.select(F.col("v").alias("_id"))), "_id"), "join-texts")
+        both = pairs.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v").join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
         return materialize(both.select("u", "v", "tu", "tv").mapInArrow(_verify(k, percent), "u long, v long"), "join-links")
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -296,15 +351,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("order") if j else F.lit(0).cast("long").alias("order"), F.col("rep").alias("u"), F.col("n").alias("nu"))).over(met) for j in range(HUBS)]
     stars = buckets.withColumn("hubs", F.array(*hubs)).withColumn("hub", F.explode("hubs")).select("hub.u", "hub.nu", F.col("rep").alias("v"), F.col("n").alias("nv"))
     stars = materialize(ordered(stars.where((F.col("u") != F.col("v")) & fits)), "join-stars")
-    links = own.unionByName(verified(stars))
+    links = own.unionByName(verified(near(stars)))
     found = components(links)
-    # then all that are still apart
+    # then all that are still apart, in blocks of a bounded size that are compared by sketches where they meet
     at = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    at = at.withColumn("c0", F.min("c").over(met)).withColumn("c1", F.max("c").over(met)).where("c0 < c1")
-    left, right = at.select("sig", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu")), at.select("sig", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
-    apart = left.join(right, "sig").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits)
-    apart = materialize(ordered(apart).join(stars.select("u", "v"), ["u", "v"], "left_anti"), "join-apart")
-    more = verified(apart)
+    at = at.withColumn("c0", F.min("c").over(met)).withColumn("c1", F.max("c").over(met)).withColumn("k", F.count("*").over(met)).where("c0 < c1")
+    at = at.join(sketches, "rep").withColumn("g", F.ceil(F.col("k") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "g"))
+    at = at.withColumn("other", F.explode(F.expr("sequence(0L, g - 1)"))).select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "c", "s")
+    apart = at.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(_apart(percent), "u long, v long").distinct()
+    more = verified(apart.join(stars.select("u", "v"), ["u", "v"], "left_anti"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     # rows of large classes and components meet their one row by broadcast or a split join, on thin rows
