@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import fixed
@@ -31,31 +31,34 @@ def canonical_unit(c: Column) -> Column:
     return first_match(t, fixed.UNIT_SPELLINGS, otherwise=t)
 
 
-def format_g(x: Column) -> Column:
-    """C's %g: six significant digits, no trailing zeros."""
-    e = F.format_string("%.5e", x)
-    power = F.substring_index(e, "e", -1).cast("int")
-    short = lambda s: F.regexp_replace(F.when(s.contains("."), F.regexp_replace(s, "0+$", "")).otherwise(s), r"\.$", "")
-    plain = F.lit(None).cast("string")
-    for p in range(-4, 6):
-        plain = F.when(power == p, F.format_string(f"%.{5 - p}f", x)).otherwise(plain)
-    return F.when((power < -4) | (power >= 6), F.concat(short(F.substring_index(e, "e", 1)), F.lit("e"), F.substring_index(e, "e", -1))).otherwise(short(plain))
+def _short(s: Column) -> Column:
+    return F.regexp_replace(F.when(s.contains("."), F.regexp_replace(s, "0+$", "")).otherwise(s), r"\.$", "")
+
 
+def with_normalised_values(df: DataFrame, value: str = "value", unit: str = "unit") -> DataFrame:
+    """value without commas, white space and approximations; converted when numeric, printed with six digits as C's %g does.
 
-def normalise_value(value: Column, unit: Column) -> tuple[Column, Column]:
-    """(value, unit): without commas, white space and approximations; converted when numeric, printed with six digits."""
-    v = F.regexp_replace(F.coalesce(value, F.lit("")), r"[,\s]", "")
-    v = F.regexp_replace(v, r"(?i)approx\.?|about|~|±[0-9]*", "")
-    u = canonical_unit(unit)
-    x = number(v)
-    factor = first_match(u, fixed.UNIT_CONVERSIONS, 2)
-    converted = F.when(factor.isNotNull(), F.round(x * factor, 6)).otherwise(x)
-    return F.when(x.isNotNull(), format_g(converted)).otherwise(v), F.when(x.isNotNull(), F.coalesce(first_match(u, fixed.UNIT_CONVERSIONS, 1), u)).otherwise(u)
+    Each step is a column of its own: one nested expression would repeat its parts in every branch.
+    """
+    v = F.regexp_replace(F.coalesce(F.col(value), F.lit("")), r"[,\s]", "")
+    df = df.withColumns({"_v": F.regexp_replace(v, r"(?i)approx\.?|about|~|±[0-9]*", ""), "_u": canonical_unit(F.col(unit))})
+    df = df.withColumns({"_x": number(F.col("_v")), "_m": first_match(F.col("_u"), fixed.UNIT_CONVERSIONS, 2), "_c": first_match(F.col("_u"), fixed.UNIT_CONVERSIONS, 1)})
+    df = df.withColumn("_y", F.when(F.col("_m").isNotNull(), F.round(F.col("_x") * F.col("_m"), 6)).otherwise(F.col("_x")))
+    df = df.withColumn("_e", F.format_string("%.5e", "_y")).withColumn("_p", F.substring_index("_e", "e", -1).try_cast("int"))
+    plain = None
+    for p in range(-4, 6):
+        said = F.format_string(f"%.{5 - p}f", "_y")
+        plain = F.when(F.col("_p") == p, said) if plain is None else plain.when(F.col("_p") == p, said)
+    df = df.withColumn("_g", plain.otherwise(F.substring_index("_e", "e", 1))).withColumn("_g", _short(F.col("_g")))
+    far = (F.col("_p") < -4) | (F.col("_p") >= 6)
+    g = F.when(far, F.concat("_g", F.lit("e"), F.substring_index("_e", "e", -1))).otherwise(F.col("_g"))
+    is_number = F.col("_x").isNotNull()
+    return df.withColumns({value: F.when(is_number, g).otherwise(F.col("_v")), unit: F.when(is_number, F.coalesce("_c", "_u")).otherwise(F.col("_u"))}).drop("_v", "_u", "_x", "_m", "_c", "_y", "_e", "_p", "_g")
 
 
 def clamp_confidence(c: Column) -> Column:
     x = number(F.trim(c.cast("string")))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), F.lit(0.5))
+    return F.when(x.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def numeric_loose(c: Column) -> Column:

@@ -19,8 +19,7 @@ def measured(facts: DataFrame) -> DataFrame:
 # ---- cleaning
 
 def normalise_facts(facts: DataFrame) -> DataFrame:
-    value, unit = E.normalise_value(F.col("value"), F.col("unit"))
-    return facts.withColumns({"value": value, "unit": unit, "subject": F.trim("subject"), "attribute": F.lower(F.trim("attribute")), "confidence": E.clamp_confidence(F.col("confidence"))})
+    return E.with_normalised_values(facts).withColumns({"subject": F.trim("subject"), "attribute": F.lower(F.trim("attribute")), "confidence": E.clamp_confidence(F.col("confidence"))})
 
 
 def rejection_reason(min_confidence: float = fixed.MIN_CONFIDENCE):

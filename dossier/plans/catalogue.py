@@ -136,8 +136,7 @@ def _normal(s, d):
 
 
 def _values(s, d):
-    value, unit = E.normalise_value(F.col("value"), F.col("unit"))
-    return A.facts(s, d).select("fact_id", value.alias("value"), unit.alias("unit"))
+    return E.with_normalised_values(A.facts(s, d)).select("fact_id", "value", "unit")
 
 
 def _truth(s, d):

@@ -18,8 +18,8 @@ def test_units(spark):
 
 @pytest.mark.parametrize("value,unit,said", [("7,500", "mm", ("7.5", "m")), ("2", "Km", ("2000", "m")), ("3", "MPa", ("3000", "kN/m²")), ("1234567", "", ("1.23457e+06", "")), ("approx 7.5", "m", ("7.5", "m")), ("approximately 7.5", "m", ("imately7.5", "m")), ("pile foundation", "", ("pilefoundation", ""))])
 def test_values(spark, value, unit, said):
-    v, u = E.normalise_value(F.col("v"), F.col("u"))
-    assert values(spark, F.concat_ws("|", v, u), [(value, unit)], ["v", "u"]) == ["|".join(said)]
+    df = spark.createDataFrame([(value, unit)], "value string, unit string")
+    assert tuple(E.with_normalised_values(df).first()) == said
 
 
 def test_numbers(spark):
