@@ -117,7 +117,7 @@ def fact_rule_pairs(facts: DataFrame, rules: DataFrame, rule_sectors: DataFrame,
 
 
 def compliance_rows(pairs: DataFrame) -> DataFrame:
-    ok = E.compare(F.col("value"), F.col("operator"), F.col("threshold"))
+    pairs, ok = pairs.withColumn("_ok", E.compare(F.col("value"), F.col("operator"), F.col("threshold"))), F.col("_ok")
     return pairs.select(
         "fact_id", "rule_id", "applies", "sector", F.col("attribute").alias("check_area"), F.col("standard_name").alias("standard"), "severity", F.when(ok, "Compliant").otherwise("Non-Compliant").alias("classification"),
         ok.isNull().alias("needs_review"), E.weight(F.col("severity")).alias("weight"), "source_page", E.describe_operator(F.col("operator"), F.col("threshold"), F.lit("")).alias("rule_expected"),

@@ -41,22 +41,29 @@ APPLICABLE_SQL = " UNION ALL ".join([f"SELECT {_sql(s)} AS sector, {_sql(s)} AS
 DEPENDENCY_SQL = "SELECT 'design speed' AS parameter, 'gradient' AS requires, 'Metro' AS sector UNION ALL SELECT 'pile', 'soil investigation', 'Bridges' UNION ALL SELECT 'span', 'hydraulic study', 'Highways' UNION ALL SELECT 'viaduct', 'foundation', 'Ports'"
 
 
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """One local relation. A union of one-row selects would have every later expression copied into each of its branches."""
+    names = ", ".join(c.split()[0] for c in schema.split(", "))
+    casts = ", ".join(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in schema.split(", "))
+    return spark.sql(f"SELECT {casts} FROM VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows) + f" AS t({names})")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a fact (facts_all), from events."""
     return spark.sql(FACT_SQL.format(events="{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.sql(RULE_SQL)
+    return _values(spark, [r[:10] for r in RULES], "rule_id string, seq int, standard_name string, clause string, attribute string, operator string, threshold string, unit string, cond string, severity string")
 
 
 def rule_sectors(spark: SparkSession) -> DataFrame:
-    return spark.sql(RULE_SECTOR_SQL)
+    return _values(spark, [(r[0], x) for r in RULES for x in r[10]], "rule_id string, sector string")
 
 
 def applicable_sectors(spark: SparkSession) -> DataFrame:
     """sector, applies: itself and its direct parents."""
-    return spark.sql(APPLICABLE_SQL)
+    return _values(spark, [(x, x) for x in fixed.SECTORS] + list(fixed.SECTOR_PARENTS), "sector string, applies string")
 
 
 def dependencies(spark: SparkSession) -> DataFrame:
