@@ -5,26 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import fixed
 from dossier.functions import expr as E
 
-_STRIP = r"^\s+|\s+$"
+_SPACES = " \t\n\x0b\f\r"
+
+
+def _strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
     """page_num, category, table_score, image_score: one chain of rules, first match decides."""
     text = F.coalesce("text", F.lit(""))
-    p = pages.withColumn("_t", text).withColumn("_n", F.length(F.regexp_replace("_t", _STRIP, "")))
-    p = p.withColumn("_lines", F.filter(F.transform(F.split("_t", "\n"), lambda x: F.regexp_replace(x, _STRIP, "")), lambda x: x != ""))
+    p = pages.withColumn("_t", text).withColumn("_n", F.length(_strip(F.col("_t"))))
+    p = p.withColumn("_lines", F.filter(F.transform(F.split("_t", "\n"), _strip), lambda x: x != ""))
     toc = F.coalesce(F.try_divide(F.size(F.filter("_lines", lambda x: x.rlike(fixed.TOC_LINE))), F.size("_lines")), F.lit(0.0))
     r, t = F.col("rect_count"), F.col("_t")
     table = F.least(F.lit(1.0), F.when(r > 50, 0.5).when(r > 20, 0.35).when(r > 6, 0.2).otherwise(0.0) + F.when(F.col("has_grid_lines"), 0.3).otherwise(0.0) + F.least(F.lit(0.3), E.hits(t, fixed.TABLE_PATTERNS) * 0.08))
     images = F.col("image_count")
     image = F.least(F.lit(1.0), F.least(F.lit(0.5), images * 0.2) + F.when((F.col("_n") < 100) & (images > 0), 0.4).otherwise(0.0) + F.least(F.lit(0.2), E.hits(t, fixed.IMAGE_PATTERNS) * 0.1))
-    p = p.withColumns({"table_score": table, "image_score": image, "_e": E.hits(t, fixed.ENGINEERING_PATTERNS) / len(fixed.ENGINEERING_PATTERNS), "_toc": toc, "_h": E.hits(t, fixed.HEADER_PATTERNS), "_a": E.hits(t, fixed.ADMIN_PATTERNS)})
+    # Patterns that only decide about short or table-like pages are not searched for in others.
+    short = lambda limit, patterns: F.when(F.col("_n") < limit, E.hits(t, patterns)).otherwise(0)
+    p = p.withColumns({"table_score": table, "image_score": image, "_toc": toc, "_h": short(200, fixed.HEADER_PATTERNS), "_a": short(500, fixed.ADMIN_PATTERNS)})
+    p = p.withColumn("_e", F.when(F.col("table_score") > 0.3, E.hits(t, fixed.ENGINEERING_PATTERNS) / len(fixed.ENGINEERING_PATTERNS)).otherwise(0.0))
     n, e, ts = F.col("_n"), F.col("_e"), F.col("table_score")
     category = (
         F.when(n < 30, "SKIP").when(F.col("_toc") > 0.5, "SKIP").when((F.col("_h") > 0) & (n < 200), "SKIP").when((F.col("_a") >= 2) & (n < 500), "SKIP")
@@ -36,8 +43,8 @@ def classify_pages(pages: DataFrame) -> DataFrame:
 def extractable(pages: DataFrame) -> DataFrame:
     """Pages with 80 characters, a digit and three lines that are not blank."""
     t = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_replace(x, _STRIP, "") != "")
-    return pages.where((F.length(F.regexp_replace(t, _STRIP, "")) >= 80) & t.rlike("[0-9]") & (F.size(lines) >= 3))
+    lines = F.filter(F.split(t, "\n"), lambda x: _strip(x) != "")
+    return pages.where((F.length(_strip(t)) >= 80) & t.rlike("[0-9]") & (F.size(lines) >= 3))
 
 
 def chunks_of(text: str | None, size: int, overlap: int) -> list[str]:
