@@ -174,6 +174,11 @@ class Reader:
         for t in set(tokens).difference(known):
             known[t] = self.words_of(t)
         out = [known[t] for t in tokens]
+        return out + self.spelled(tokens)
+
+    def spelled(self, tokens: list[str]) -> list[tuple[str, ...]]:
+        """Restored words of runs of single characters."""
+        out: list[tuple[str, ...]] = []
         single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
         if single.any():
             edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
@@ -217,6 +222,52 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(a + b * signals[0] + c * signals[1], -30, 30))))
 
 
+class TokenScorer:
+    """What Scorer.signals(Reader.read(text)) says, token by token: each distinct token is judged once, and texts meet by set
+    intersection the few tokens that carry weight."""
+
+    def __init__(self, scorer: Scorer, model: np.ndarray, most: int = 300_000):
+        self.scorer, self.reader, self.most = scorer, Reader(model, most), most
+        self.weights = {f: w for f, w in scorer.weights.items() if w > 0}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: set[str] = set()
+        self.heavy: set[str] = set()
+        self.single: set[str] = set()
+        self.said: dict[str, tuple[float, str]] = {}
+
+    def _strongest(self, words: tuple[str, ...]) -> tuple[float, str] | None:
+        weights, best = self.weights, None
+        for w in words:
+            for f in (w, *(w[:n] + "*" for n in BEGINNINGS if len(w) >= n)):
+                if f in weights and (best is None or (weights[f], f) > best):
+                    best = (weights[f], f)
+        return best
+
+    def signals(self, text: str) -> tuple[float, float]:
+        tokens = text.split()
+        met = set(tokens)
+        if len(self.known) > self.most:
+            self._forget()
+        new = met - self.known
+        for t in new:
+            if len(t) == 1:
+                self.single.add(t)
+            if (found := self._strongest(self.reader.words_of(t))) is not None:
+                self.said[t] = found
+                self.heavy.add(t)
+        self.known |= new
+        best = {f: w for w, f in (self.said[t] for t in met & self.heavy)}
+        # only a run with three different single characters is decoded as a whole
+        if len(met & self.single) > 2:
+            for words in self.reader.spelled(tokens):
+                if (found := self._strongest(words)) is not None:
+                    best[found[1]] = found[0]
+        top = sorted(best.values(), reverse=True)[:3]
+        return (top[0] if top else 0.0), sum(top)
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Logistic regression of y on x (n, 2), by Newton's method with a small penalty."""
     one = np.column_stack([np.ones(len(x)), x])
@@ -280,8 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_rows: int
     return scorer
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """_row (a struct of docs' columns), score for each row of docs.
+def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """_row (a struct of docs' columns, or of those in carry), score for each row of docs.
 
     The language model is counted over all texts, the score learned from the labelled sample, both
     in this call. A null text scores as an empty one: no signal, the curve's least. Without labels, or
@@ -292,22 +343,23 @@ def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     scorer = train(texts, labels.select(F.col("doc_id").alias("_id"), "toxic"), model, train_rows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        reader = TokenScorer(scorer, model)
         for b in batches:
             out = []
             for j in range(b.num_rows):
                 text = (b.column(1)[j].as_py() or b"").decode("utf-8", "replace")
-                out.append(scorer.score(scorer.signals(reader.read(text))))
+                out.append(scorer.score(reader.signals(text)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["_row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(scan, StructType().add("_row", docs.schema).add("score", "double"))
+    kept = docs if carry is None else docs.select(*carry)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
+    return rows.mapInArrow(scan, StructType().add("_row", kept.schema).add("score", "double"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; see score_rows. A null id is not held out."""
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = score_rows(thin, labels, "doc_id", "text", train_rows).select("_row.doc_id", "score")
+    found = score_rows(thin, labels, "doc_id", "text", train_rows, ["doc_id"]).select("_row.doc_id", "score")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
