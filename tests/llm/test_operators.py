@@ -259,3 +259,16 @@ def test_urls(spark):
     df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
     got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.filter_urls(df).collect()}
     assert got == {r[0]: r[2:] for r in rows}
+
+
+def test_toxicity_by_distinct_token_equals_the_plain_path():
+    import numpy as np
+
+    from dossier.llm import toxicity as T
+
+    texts = ["", "plain words here, plain words", "k i l l y o u n o w", "a a a a a b", "x y z w " * 5, "id1ot 1d10t s t u p i d", "Ünïcode wörds!", "a " * 3000 + "stupid stuuuupid $tup1d"]
+    model = np.random.default_rng(1).normal(-3, 1, (32,) * 4).astype(np.float32)
+    found = sorted({f for t in texts for w in T.Reader(model).read(t) for f in T.features(w)})
+    scorer = T.Scorer({f: (k % 7 - 2) / 2 for k, f in enumerate(found)}, (-2.0, 0.5, 0.5))
+    plain, quick = T.Reader(model), T.TokenScorer(scorer, model, most=3)
+    assert [quick.signals(t) for t in texts] == [scorer.signals(plain.read(t)) for t in texts]
