@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes after which a batch for Python ends, where the session leaves Spark's default of 64 MB: batches of
+#: whole texts stand several times in the memory of an executor and of each of its Python workers.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def free_memory() -> None:
+    """Gives what a Python worker no longer uses back to the system; Spark keeps workers for later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(scan, schema) in batches of bounded bytes; each task frees its memory at its end."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) in ("67108864b", "64MB"):
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        free_memory()
+
+    return df.mapInArrow(freed, schema)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z only. lower() is many times faster and says the same of texts that hold no other than ASCII characters."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

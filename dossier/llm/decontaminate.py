@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dossier.llm.common import WordHashes, lower_ascii_bytes, mix, rolling
+from dossier.llm.common import WordHashes, in_arrow, lower_ascii_bytes, mix, rolling
 
 #: A document that has a part within this share of an item's characters, in edits, is contaminated.
 EDIT_PERCENT = 20
@@ -207,33 +207,34 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     over the documents for each block of it.
     """
     walks = Walks()
-    kept = StructType().add("_row", docs.schema).add("_text", "binary").add("item_id", "long").add("distance", "long").add("n_items", "long")
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
+    at = docs.columns.index(text_col)
+    kept = StructType().add("_row", docs.schema).add("item_id", "long").add("distance", "long").add("n_items", "long")
+    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     state = state.select("*", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("distance"), F.lit(0).cast("long").alias("n_items"))
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items, hashes = Items(block, walks), WordHashes()
             for b in batches:
-                out, lo = [], 0
+                out, lo, whole = [], 0, b.column(0).field(at).cast(pa.binary())
                 while lo < b.num_rows:
                     texts, held = [], 0
                     while lo < b.num_rows and (not texts or held < PART_BYTES):
-                        text, words = normalise(b.column(1)[lo].as_py())
+                        text, words = normalise(whole[lo].as_py())
                         texts.append((text, np.fromiter(map(len, words), np.int64, len(words)), hashes.of(words)))
                         held += len(text)
                         lo += 1
                     for (text, _, _), near in zip(texts, items.candidates(texts)):
                         j = len(out)
                         got = items.matches(text, near, percent) if near else {}
-                        was = (b.column(3)[j].as_py(), b.column(2)[j].as_py())
+                        was = (b.column(2)[j].as_py(), b.column(1)[j].as_py())
                         best = min([(d, i) for i, d in got.items()] + ([was] if was[0] is not None else []), default=(None, None))
-                        out.append((best[1], best[0], b.column(4)[j].as_py() + len(got)))
+                        out.append((best[1], best[0], b.column(3)[j].as_py() + len(got)))
                 new = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], ["_row", "_text", "item_id", "distance", "n_items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *new], ["_row", "item_id", "distance", "n_items"])
 
-        state = state.mapInArrow(scan, kept)
-    return state.drop("_text")
+        state = state.transform(in_arrow, scan, kept)
+    return state
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WordHashes, lower_ascii_bytes, materialize, mix, only, rolling
+from dossier.llm.common import WordHashes, in_arrow, lower_ascii_bytes, materialize, mix, only, rolling
 from dossier.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -179,7 +179,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def heavy_cells(tables: DataFrame) -> np.ndarray:
     """Which cells of the frequency table stand out. CELLS numbers reach the driver, whatever the input."""
     counts = np.zeros((_SLICES, CELLS // _SLICES), np.int64)
-    for k, x in tables.repartition(_SLICES, "slice").mapInArrow(_added, "slice int, counts binary").collect():
+    for k, x in tables.repartition(_SLICES, "slice").transform(in_arrow, _added, "slice int, counts binary").collect():
         counts[k] += np.frombuffer(bytes(x), np.int64)
     counts = counts.reshape(-1)
     usual = float(np.median(counts))
@@ -309,7 +309,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document. Other columns are ignored; an empty table gives an empty result. ids are long.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    first = materialize(thin.mapInArrow(_scan(k, percent), "_id long, n long, key binary, sketch binary, slice int, counts binary"), "join-sets")
+    first = materialize(thin.transform(in_arrow, _scan(k, percent), "_id long, n long, key binary, sketch binary, slice int, counts binary"), "join-sets")
     rows = first.where("slice is null").select("_id", "n", "key")
     total = rows.count()
     heavy = heavy_cells(first.where("slice is not null").select("slice", "counts"))
@@ -320,7 +320,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = members.groupBy("_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("u", "v")  # an id with several texts
 
     met = Window.partitionBy("sig")
-    sigs = thin.mapInArrow(_index(k, percent, heavy), "sig long, _id long, n long")
+    sigs = thin.transform(in_arrow, _index(k, percent, heavy), "sig long, _id long, n long")
     multi = sigs.withColumn("lo", F.min("_id").over(met)).withColumn("hi", F.max("_id").over(met)).where("lo < hi").select("sig", "_id", "n")
     multi = materialize(multi, "join-met")
     reps = multi.join(members.where("_id <> rep").select("_id", "rep").distinct(), "_id", "left").select("sig", F.coalesce("rep", "_id").alias("rep"), "n").distinct()
@@ -334,14 +334,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sketches.select(F.col("rep").alias("u"), F.col("s").alias("su")), "u").join(sketches.select(F.col("rep").alias("v"), F.col("s").alias("sv")), "v")
-        return both.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(_near(percent), "u long, v long")
+        return both.select("u", "v", "nu", "nv", "su", "sv").transform(in_arrow, _near(percent), "u long, v long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of pairs (u, v), each once, that link by their texts."""
         pairs = materialize(pairs, "join-near")
         texts = materialize(only(thin, pairs.select(F.col("u").alias("_id")).union(pairs.select(F.col("v").alias("_id"))), "_id"), "join-texts")
         both = pairs.join(texts.select(F.col("_id").alias("v"), F.col("_text").alias("tv")), "v").join(texts.select(F.col("_id").alias("u"), F.col("_text").alias("tu")), "u")
-        return materialize(both.select("u", "v", "tu", "tv").mapInArrow(_verify(k, percent), "u long, v long"), "join-links")
+        return materialize(both.select("u", "v", "tu", "tv").transform(in_arrow, _verify(k, percent), "u long, v long"), "join-links")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         low = F.col("u") < F.col("v")
@@ -358,7 +358,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = at.withColumn("c0", F.min("c").over(met)).withColumn("c1", F.max("c").over(met)).withColumn("k", F.count("*").over(met)).where("c0 < c1")
     at = at.join(sketches, "rep").withColumn("g", F.ceil(F.col("k") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "g"))
     at = at.withColumn("other", F.explode(F.expr("sequence(0L, g - 1)"))).select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "n", "c", "s")
-    apart = at.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(_apart(percent), "u long, v long").distinct()
+    apart = at.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").transform(in_arrow, _apart(percent), "u long, v long").distinct()
     more = verified(apart.join(stars.select("u", "v"), ["u", "v"], "left_anti"))
     if not more.isEmpty():
         found = components(links.unionByName(more))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WordHashes, materialize, only
+from dossier.llm.common import WordHashes, in_arrow, materialize, only
 from dossier.llm.spans import HOT_SHARE, covered, masks, runs_of, shared_windows
 
 WORD_WINDOW, WORD_ANCHOR = 50, 16
@@ -38,7 +38,7 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, tokenise, wind
     texts = only(thin.where("_id is not null"), copies, "_id", "left_anti")
     found = materialize(shared_windows(texts, tokenise, window, anchor), "spans-found")
     everything = copies.select("_id", F.array(F.lit(0)).alias("starts"), F.array(F.lit(1 << 30)).alias("ends"))
-    return thin.join(masks(found).unionByName(everything), "_id", "left").select("_id", "_text", "starts", "ends").mapInArrow(finish, schema)
+    return thin.join(masks(found).unionByName(everything), "_id", "left").select("_id", "_text", "starts", "ends").transform(in_arrow, finish, schema)
 
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORD_WINDOW) -> DataFrame:

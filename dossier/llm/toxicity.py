@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dossier.llm.common import materialize
+from dossier.llm.common import in_arrow, materialize
 
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
@@ -94,7 +94,7 @@ def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def language_model(texts: DataFrame) -> np.ndarray:
     """log p(last symbol | three before it), interpolated over the orders, from the counts of all texts. 32 ** 4 numbers at most reach the driver."""
-    rows = texts.mapInArrow(_ngrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.transform(in_arrow, _ngrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << _BITS,) * _ORDER)
     counts.reshape(-1)[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
     p = np.full(1 << _BITS, 1 / 29)
@@ -294,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_rows: int
                 lists.append(["\x1f".join(w) for w in dict.fromkeys(reader.read((t or b"").decode("utf-8", "replace")))])
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(lists, pa.list_(pa.string()))], ["toxic", "read"])
 
-    texts = materialize(sample.select(F.col("toxic").cast("int"), "_text").mapInArrow(read, "toxic int, read array<string>"), "tox-sample")
+    texts = materialize(sample.select(F.col("toxic").cast("int"), "_text").transform(in_arrow, read, "toxic int, read array<string>"), "tox-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
@@ -314,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_rows: int
     base = toxic / rows
     both = F.col("pos") + F.col("neg")
     g2 = 2 * (F.col("pos") * F.log(F.greatest(F.col("pos"), F.lit(1e-9)) / (both * base)) + F.col("neg") * F.log(F.greatest(F.col("neg"), F.lit(1e-9)) / (both * (1 - base))))
-    counted = texts.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = texts.transform(in_arrow, count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     best = counted.where(F.col("pos") > both * base).withColumn("g2", g2).where(F.col("g2") > EVIDENCE).orderBy(F.col("g2").desc(), "feature").limit(MOST_FEATURES).collect()
     prior = 2.0
     weights = {r.feature: float(np.log((r.pos + prior * base) / (r.neg + prior * (1 - base))) - np.log(base / (1 - base))) for r in best}
@@ -325,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, train_rows: int
             got = [scorer.signals([tuple(filter(None, x.split("\x1f"))) for x in lists]) for lists in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["toxic", "a", "b"])
 
-    seen = texts.mapInArrow(signal, "toxic int, a double, b double").toPandas()  # train_rows rows of three numbers
+    seen = texts.transform(in_arrow, signal, "toxic int, a double, b double").toPandas()  # train_rows rows of three numbers
     scorer.curve = _curve(seen[["a", "b"]].to_numpy(), (seen["toxic"] > 0).to_numpy(float))
     scorer.known = {}
     return scorer
@@ -346,14 +346,16 @@ def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         reader = TokenScorer(scorer, model)
         for b in batches:
             out = []
+            texts = b.column(1) if at is None else b.column(0).field(at).cast(pa.binary())
             for j in range(b.num_rows):
-                text = (b.column(1)[j].as_py() or b"").decode("utf-8", "replace")
+                text = (texts[j].as_py() or b"").decode("utf-8", "replace")
                 out.append(scorer.score(reader.signals(text)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["_row", "score"])
 
     kept = docs if carry is None else docs.select(*carry)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(scan, StructType().add("_row", kept.schema).add("score", "double"))
+    at = kept.columns.index(text_col) if text_col in kept.columns else None  # a text that is carried is not sent twice
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), *([F.col(text_col).cast("binary").alias("_text")] if at is None else []))
+    return rows.transform(in_arrow, scan, StructType().add("_row", kept.schema).add("score", "double"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
