@@ -1,14 +1,15 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
+"""Benchmark decontamination: CGK embedding, sampled by runs of its steps, exact edit distance.
 
 The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) reads a string with one pointer that
-moves on or stays by a random bit of (step, character). Two strings at small edit distance fall into step
-again after an edit, so their walks differ in few places: edit distance becomes Hamming distance,
-and sampling a few places of the walk is a locality-sensitive hash.
+moves on or stays by a random bit of (step, character). Where a fifth of the characters is edited, the walks of a whole
+item and its copy soon fall out of step, so an item has a window at each of its characters, of as many steps as keep the
+stated recall: one walk over a document meets them all, each at the steps that its item's length allows.
+Windows that meet are counted (q-grams in common), then searched by Myers' bit vectors.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,25 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dossier.llm.common import WordHashes, in_arrow, lower_ascii_bytes, mix, rolling
+from dossier.llm.common import in_arrow, lower_ascii_bytes, mix
 
 #: A document that has a part within this share of an item's characters, in edits, is contaminated.
 EDIT_PERCENT = 20
-#: Walks, steps of each, hash tables of each, places sampled by a table.
-WALKS, STEPS, TABLES, PLACES = 2, 96, 12, 10
-#: An item's windows start at its words, down to this many characters before its end (half its length, if it is shorter).
-TAIL = 56
+#: Share of leaks with EDIT_PERCENT edits at random places that the windows must meet; it sets their lengths.
+RECALL = 0.98
+#: Characters that windows may span on average, two steps for each; every so many characters of a document start one.
+SPANS, STRIDE = (5, 6, 7, 8, 9, 10, 11, 12), 2
 #: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents that walk together.
 PART_BYTES = 2 << 20
-_ANCHOR_BITS = 20
+#: Windows that walk at once, and bits of a q-gram's code.
+_CHUNK, _GRAM_BITS = 1 << 15, 13
 
 
-def normalise(text: bytes | None) -> tuple[bytes, list[bytes]]:
-    """(words of the A-Z lower-cased text joined by one space, the words)."""
-    words = lower_ascii_bytes(text or b"").split()
-    return b" ".join(words), words
+def normalise(text: bytes | None) -> bytes:
+    """The words of the A-Z lower-cased text joined by one space."""
+    return b" ".join(lower_ascii_bytes(text or b"").split())
 
 
 def edit_distance(pattern: bytes, text: bytes) -> int:
@@ -67,119 +68,174 @@ def edit_distance(pattern: bytes, text: bytes) -> int:
     return best
 
 
+def window_of(m: int, percent: int) -> tuple[bool, int]:
+    """(whether windows are exact pieces, characters they span) of an item of m characters.
+
+    k edits leave one of k + 1 pieces whole, so pieces miss nothing; a longer span is taken where one of the k + 1 runs
+    between edits at random places is that long with probability RECALL.
+    """
+    k = m * percent // 100
+    piece = min(m // (k + 1), SPANS[-1])
+    span = max((n for n in SPANS if (1 - (1 - percent / 100) ** n) ** (k + 1) <= 1 - RECALL), default=0)
+    return (True, piece) if piece >= span else (False, span)
+
+
+def common_grams(m: int, percent: int, exact: bool) -> tuple[int, int]:
+    """(q, q-grams that a part within percent edits has in common with an item of m characters, at least).
+
+    An edit breaks q of them. Items in pieces rely on that alone; for others, edits at random places leave
+    (1 - percent / 100) ** q of them, here less 1.2 roots of m (over two standard deviations, by simulation).
+    """
+    k = m * percent // 100
+    if exact:
+        return 3, m - 2 - 3 * k
+    return 6, max(m - 5 - 6 * k, int((m - 5) * (1 - percent / 100) ** 6 - 1.2 * m**0.5))
+
+
 class Walks:
-    """The random bits of the walks and the places that the tables sample; the same everywhere."""
-
-    def __init__(self, walks: int = WALKS, steps: int = STEPS, tables: int = TABLES, places: int = PLACES, seed: int = 11):
-        random = np.random.default_rng(seed)
-        self.bits = random.integers(0, 2, (walks, steps, 256)).astype(np.int64)
-        self.places = [[np.sort(random.choice(steps, places, replace=False)) for _ in range(tables)] for _ in range(walks)]
-        self.walks, self.steps, self.tables = walks, steps, tables
-
-    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(tables of all walks, windows) hashes of the windows that start there; data ends in `steps` zeros."""
-        out = np.empty((self.walks * self.tables, len(starts)), np.uint64)
-        for w in range(self.walks):
-            seen = np.empty((self.steps, len(starts)), np.uint8)
-            at = starts.copy()
-            for step in range(self.steps):
+    """The random bits of the walk; the same everywhere."""
+
+    def __init__(self, steps: int = 2 * SPANS[-1], seed: int = 11):
+        self.bits, self.steps = np.random.default_rng(seed).integers(0, 2, (steps, 256)).astype(np.int64), steps
+
+    def keys(self, data: np.ndarray, starts: np.ndarray, exact: bool, spans: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(span, hashes of the windows that start there, last character each has read), spans ascending; data ends in `steps` zeros."""
+        at, h, step = starts.copy(), np.full(len(starts), 1 + exact, np.uint64), 0
+        last = at
+        for span in spans:
+            while step < (span if exact else 2 * span):
                 c = data[at]
-                seen[step] = c
-                at += self.bits[w, step][c]
-            for t, places in enumerate(self.places[w]):
-                k = w * self.tables + t
-                h = np.full(len(starts), k + 1, np.uint64)
-                for p in places:
-                    h *= np.uint64(0x100000001B3)
-                    h += seen[p]
-                out[k] = mix(h)
-        return out
+                h *= np.uint64(0x100000001B3)
+                h += c.view(np.uint64)
+                last = at
+                at = at + (1 if exact else self.bits[step][c])
+                step += 1
+            yield span, mix(h * np.uint64(64) + np.uint64(span)), last
+
+
+def _grams(data: np.ndarray, q: int) -> np.ndarray:
+    """Code of the q bytes from each place; data: int64."""
+    n = max(0, len(data) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(q):
+        h = h * np.uint64(0x100000001B3) + data[j : j + n].view(np.uint64)
+    return (mix(h) >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)
+
+
+def _buffer(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
 
 
 class Items:
-    """The tables of a block of benchmark items."""
+    """The windows of a block of benchmark items, and the q-grams of each item."""
 
-    def __init__(self, items: list[tuple[int, bytes]], walks: Walks):
-        self.walks, self.texts = walks, []
+    def __init__(self, items: list[tuple[int, bytes]], walks: Walks, percent: int = EDIT_PERCENT):
+        self.walks, self.texts = walks, [(i, normalise(raw)) for i, raw in items]
+        self.grams: list[Counter] = []
+        self.spans: dict[bool, list[int]] = {True: [], False: []}
         pad = bytes(walks.steps)
-        data, where, hashes = [], [], WordHashes()
-        at = 0
-        self.anchors = np.zeros(1 << _ANCHOR_BITS, bool)
-        for k, (i, raw) in enumerate(items):
-            text, words = normalise(raw)
-            self.texts.append((i, text))
+        of: dict[tuple[bool, int], list[int]] = defaultdict(list)
+        # a byte for each q-gram's code, or a bit where the block has many items
+        self.packed = len(items) > 4000
+        self.sets = np.zeros((len(items), (1 << _GRAM_BITS) >> 3 * self.packed), np.uint8)
+        lengths = np.array([len(t) for _, t in self.texts], np.int64)
+        self.slack, self.length, self.q, self.least = lengths * percent // 100 + 8, lengths, lengths * 0, lengths * 0
+        for k, (_, text) in enumerate(self.texts):
             if not text:
-                continue
-            h = hashes.of(words)
-            offsets = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-            fits = offsets <= max(len(text) - TAIL, len(text) // 2)
-            pairs = rolling(h, 2) if len(h) > 1 else mix(h)
-            use = np.flatnonzero(fits[: len(pairs)])
-            self.anchors[(pairs[use] >> np.uint64(64 - _ANCHOR_BITS)).astype(np.int64)] = True
-            where += [(k, int(offsets[j])) for j in use]
-            data.append(text + pad)
-            self_at = [at + int(offsets[j]) for j in use]
-            where[len(where) - len(use) :] = [(k, int(offsets[j]), s) for j, s in zip(use, self_at)]
-            at += len(text) + len(pad)
-        self.windows = [(k, o) for k, o, _ in where]
-        buffer = np.frombuffer(b"".join(data) + pad, np.uint8)
-        starts = np.array([s for _, _, s in where], np.int64)
-        keys = walks.keys(buffer, starts) if len(starts) else np.empty((walks.walks * walks.tables, 0), np.uint64)
-        flat = keys.ravel()
+                self.grams.append(Counter())
+            else:
+                kind = window_of(len(text), percent)
+                of[kind].append(k)
+                self.q[k], self.least[k] = common_grams(len(text), percent, kind[0])
+                there = np.zeros(1 << _GRAM_BITS, np.uint8)
+                there[_grams(_buffer([text]), int(self.q[k]))] = 1
+                self.grams.append(Counter(text[j : j + int(self.q[k])] for j in range(len(text) - int(self.q[k]) + 1)))
+                self.sets[k] = np.packbits(there, bitorder="little") if self.packed else there
+        keys, item, offset = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for (exact, span), members in sorted(of.items()):
+            self.spans[exact].append(span)
+            for k in members:
+                text = self.texts[k][1]
+                # pieces lie side by side, walks start at each character and stop before the item's end
+                starts = np.arange(0, len(text), span if exact else 1)
+                for _, h, last in walks.keys(_buffer([text, pad]), starts, exact, [span]):
+                    use = np.flatnonzero(last < len(text))
+                    keys.append(h[use])
+                    item.append(np.full(len(use), k))
+                    offset.append(starts[use])
+        flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
-        self.keys, self.of = flat[order], (order % max(1, keys.shape[1])).astype(np.int64)
-        self.bits = max(16, int(len(flat) * 16).bit_length())
+        self.keys, self.item, self.offset = flat[order], np.concatenate(item)[order], np.concatenate(offset)[order]
+        self.bits = min(26, max(16, int(len(flat) * 16).bit_length()))
         self.there = np.zeros(1 << self.bits, bool)
         self.there[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def candidates(self, texts: list[tuple[bytes, np.ndarray, np.ndarray]]) -> list[set[tuple[int, int]]]:
-        """Of each (text, lengths of its words, their hashes): (item, where it would start).
-
-        Windows start at words that begin a window of an item, two words alike; all texts walk at once.
-        """
-        pad = bytes(self.walks.steps)
-        parts, starts, owners, bases = [], [], [], []
-        base = 0
-        for n, (text, lengths, h) in enumerate(texts):
-            bases.append(base)
-            if not len(h) or not len(self.keys):
-                continue
-            pairs = rolling(h, 2) if len(h) > 1 else mix(h)
-            use = np.flatnonzero(self.anchors[(pairs >> np.uint64(64 - _ANCHOR_BITS)).astype(np.int64)])
-            if len(use):
-                offsets = np.cumsum(lengths + 1)
-                starts.append(base + np.where(use > 0, offsets[use - 1], 0))
-                owners.append(np.full(len(use), n))
-                parts += [text, pad]
-                base += len(text) + len(pad)
-        found: list[set[tuple[int, int]]] = [set() for _ in texts]
-        if not starts:
+    def candidates(self, texts: list[bytes]) -> list[dict[int, list[tuple[int, int]]]]:
+        """Of each text, by item: the stretches in which it may be, ascending. All texts walk at once."""
+        found: list[dict[int, list[tuple[int, int]]]] = [{} for _ in texts]
+        if not len(self.keys):
             return found
-        data, start, owner = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(starts), np.concatenate(owners)
-        for lo in range(0, len(start), 20_000):
-            keys = self.walks.keys(data, start[lo : lo + 20_000])
-            table, window = np.nonzero(self.there[(keys >> np.uint64(64 - self.bits)).astype(np.int64)])
-            key = keys[table, window]
-            first, last = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            for w, a, b in zip(window + lo, first, last):
-                for j in self.of[a:b]:
-                    k, offset = self.windows[j]
-                    found[owner[w]].add((k, max(0, int(start[w]) - bases[owner[w]] - offset)))
+        pad = bytes(self.walks.steps)
+        data = _buffer([x for t in texts for x in (t, pad)])
+        lengths = np.array([len(t) for t in texts], np.int64)
+        bases = np.cumsum(lengths + len(pad)) - lengths - len(pad)
+        size = len(data) + 1
+        met = [np.empty(0, np.int64)]
+        for exact, spans in self.spans.items():
+            stride = 1 if exact else STRIDE
+            for lo in range(0, len(data) - len(pad) if spans else 0, _CHUNK * stride):
+                starts = np.arange(lo, min(lo + _CHUNK * stride, len(data) - len(pad)), stride)
+                for _, h, _ in self.walks.keys(data, starts, exact, spans):
+                    window = np.flatnonzero(self.there[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+                    first, last = np.searchsorted(self.keys, h[window], "left"), np.searchsorted(self.keys, h[window], "right")
+                    n = last - first
+                    if not n.any():
+                        continue
+                    j = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    at, k = np.repeat(starts[window], n), self.item[j]
+                    base = bases[np.searchsorted(bases, at, "right") - 1]
+                    start = np.maximum(at - base - self.offset[j], 0)
+                    met.append(np.unique(k * size + base + start // self.slack[k] * self.slack[k]))
+        k, at = np.divmod(np.unique(np.concatenate(met)), size)
+        n = np.searchsorted(bases, at, "right") - 1
+        lo = np.maximum(at - self.slack[k], bases[n])
+        hi = np.minimum(at + self.length[k] + 2 * self.slack[k], bases[n] + lengths[n])
+        use = self._alike(data, k, lo, hi)
+        for k, n, lo, hi in zip(k[use].tolist(), n[use].tolist(), (lo - bases[n])[use].tolist(), (hi - bases[n])[use].tolist()):
+            q, grams = int(self.q[k]), self.grams[k]
+            here = Counter(filter(grams.__contains__, [texts[n][j : j + q] for j in range(lo, hi - q + 1)]))
+            if sum(min(c, grams[g]) for g, c in here.items()) < self.least[k]:
+                continue  # the same again, no q-gram more often than the item has it
+            near = found[n].setdefault(k, [])
+            if near and lo <= near[-1][1]:
+                near[-1] = (near[-1][0], max(hi, near[-1][1]))
+            else:
+                near.append((lo, hi))
         return found
 
-    def matches(self, text: bytes, candidates: set[tuple[int, int]], percent: int) -> dict[int, int]:
+    def _alike(self, data: np.ndarray, k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which stretches of data have enough q-grams in common with their items."""
+        use = self.least[k] <= 0
+        flat = self.sets.ravel()
+        for q in np.unique(self.q[k[~use]]).tolist():
+            codes, rest = _grams(data, q), np.flatnonzero(~use & (self.q[k] == q))
+            rest = rest[np.argsort((hi - lo)[rest], kind="stable")]
+            while len(rest):
+                # the widest first, so many at once as a bounded table holds
+                width = max(1, int(hi[rest[-1]] - lo[rest[-1]]) - q + 1)
+                part, rest = rest[-max(1, (1 << 17) // width) :], rest[: -max(1, (1 << 17) // width)]
+                at = lo[part][:, None] + np.arange(width)
+                code = codes.take(at, mode="clip")
+                row = k[part][:, None] * self.sets.shape[1]
+                got = flat.take(row + (code >> 3)) >> (code & 7).astype(np.uint8) & 1 if self.packed else flat.take(row + code)
+                got[at > (hi[part] - q)[:, None]] = 0
+                use[part] = np.count_nonzero(got, axis=1) >= self.least[k[part]]
+        return use
+
+    def matches(self, text: bytes, candidates: dict[int, list[tuple[int, int]]], percent: int) -> dict[int, int]:
         """Edit distance to the nearest part of text, of each candidate within percent of its length."""
         out: dict[int, int] = {}
-        near: dict[int, list[tuple[int, int]]] = defaultdict(list)  # stretches of text to search, by item
-        for k, start in sorted(candidates):
-            m = len(self.texts[k][1])
-            slack = m * percent // 100 + 8
-            lo, hi = max(0, start - slack), start + m + slack
-            if near[k] and lo <= near[k][-1][1]:
-                near[k][-1] = (near[k][-1][0], max(hi, near[k][-1][1]))
-            else:
-                near[k].append((lo, hi))
-        for k, parts in near.items():
+        for k, parts in candidates.items():
             i, item = self.texts[k]
             d = min(edit_distance(item, text[lo:hi]) for lo, hi in parts)
             if 100 * d <= percent * len(item):
@@ -201,7 +257,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """_row (a struct of docs' columns), item_id, distance, n_items for each row of docs.
 
     n_items items are found in the text, item_id the nearest (by edits, then id), distance its edits; null
-    and 0 where none is. Texts are compared by their words, A-Z lower-cased, one space between. A null or
+    and 0 where none is; an item is in a text that has a part, any run of its characters, within percent edits. Texts are compared by their words, A-Z lower-cased, one space between. A null or
     empty text has none, an empty item is nowhere, an empty benchmark finds nothing. Columns of docs
     pass through whatever their names; nothing is shuffled. A benchmark above block_bytes takes a pass
     over the documents for each block of it.
@@ -214,17 +270,16 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(block, walks), WordHashes()
+            items = Items(block, walks, percent)
             for b in batches:
                 out, lo, whole = [], 0, b.column(0).field(at).cast(pa.binary())
                 while lo < b.num_rows:
                     texts, held = [], 0
                     while lo < b.num_rows and (not texts or held < PART_BYTES):
-                        text, words = normalise(whole[lo].as_py())
-                        texts.append((text, np.fromiter(map(len, words), np.int64, len(words)), hashes.of(words)))
-                        held += len(text)
+                        texts.append(normalise(whole[lo].as_py()))
+                        held += len(texts[-1])
                         lo += 1
-                    for (text, _, _), near in zip(texts, items.candidates(texts)):
+                    for text, near in zip(texts, items.candidates(texts)):
                         j = len(out)
                         got = items.matches(text, near, percent) if near else {}
                         was = (b.column(2)[j].as_py(), b.column(1)[j].as_py())

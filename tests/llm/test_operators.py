@@ -197,6 +197,26 @@ def test_decontaminate(spark):
     assert {x.doc_id for x in blocks.collect() if x.contaminated} == got.keys()
 
 
+def test_decontaminate_finds_short_items_and_a_fifth_edited(spark):
+    r = random.Random(12)
+    lengths = (3, 8, 17, 23, 35, 47, 71, 120, 209, 359)
+    text = lambda m: "".join(r.choice("abcdefghij   ") for _ in range(2 * m + 20)).strip()
+    items = [(100 * n + j, " ".join(text(m).split())[:m].rstrip().ljust(m, "k")) for n, m in enumerate(lengths) for j in range(12)]
+    noise = lambda: "".join(r.choice("qrstuvwxyz  ") for _ in range(150))
+    docs = []
+    for i, t in items:
+        edited = list(t)
+        for p in sorted(r.sample(range(len(t)), len(t) // 5), reverse=True):
+            edited[p : p + 1] = r.choice(["", "z", "y", edited[p] + "x"])
+        docs += [(i, f"{noise()} {t} {noise()}"), (10_000 + i, f"{noise()} {''.join(edited)} {noise()}")]
+    rows = decontaminate.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {x.doc_id for x in rows if x.contaminated}
+    near = {i for i, t in docs if i >= 10_000 and (m := dict(items)[i - 10_000]) and 5 * decontaminate.edit_distance(m.encode(), " ".join(t.split()).encode()) <= len(m)}
+    lost = lambda ids: {n: len([i for i in ids if i % 10_000 // 100 == n and i not in found]) for n in range(len(lengths))}
+    assert set(lost([i for i, _ in items]).values()) == {0}
+    assert len(near) >= 100 and len(near - found) <= 0.02 * len(near), lost(near)
+
+
 def test_edit_distance():
     r = random.Random(3)
 
