@@ -35,7 +35,7 @@ BEAM = 48
 #: Symbols of the language model: 0 between words, 1-26 letters, 27 any other letter, 28 anything else; order 4.
 _BITS, _ORDER = 5, 4
 _SEPARATORS = ".-_*~'` "
-_SINGLE_RUN = 4
+_SINGLE_RUN = 3
 
 
 def fold(text: str) -> str:
@@ -143,7 +143,11 @@ class Restorer:
         return best[1].replace("\x01", "")
 
 
-_ENDS = re.compile(r"^[^a-z0-9@$]+|[^a-z0-9@$]+$")
+#: What may be cut off the ends of a token: for the word as written, and before decoding, where disguises stay.
+_ENDS = re.compile(r"^[^\w@$]+|[^\w@$]+$|^_+|_+$")
+_STAND = re.escape("".join(DISGUISES))
+_EDGES = re.compile(rf"^[^\w{_STAND}]+|[^\w{_STAND}]+$|^_+|_+$")
+_DOUBLED = re.compile(r"(.)\1+")
 
 
 class Reader:
@@ -153,18 +157,33 @@ class Reader:
         self.restorer, self.known, self.most = Restorer(model), {}, most
 
     def words_of(self, token: str) -> tuple[str, ...]:
-        """Plain words of a token: itself, if it has letters only; else what the channel makes of it."""
+        """Plain words of a token in each of its readings: as written, with its repeats made single, and what the channel
+        makes of it with and without the disguises at its ends. A word of letters without repeats has the first only."""
         plain = fold(token)
-        core = _ENDS.sub("", plain).rstrip("@$") if not plain.isalpha() else plain
-        if core.isalpha() and not re.search(r"(.)\1\1", core):
-            return (core,)
-        if len(core) < 3 or not re.search(r"[a-z]", core):
-            return ()
-        # each part that is too long for a word is a sequence of characters, taken in pieces that overlap
+        core = plain if plain.isalpha() else _ENDS.sub("", plain).rstrip("@$")
         out: list[str] = []
-        for lo in range(0, len(core), 48):
-            out += self.restorer.restore(core[lo : lo + 64]).split()
-        return tuple(out)
+        if core.isalpha():
+            out.append(core)
+            if _DOUBLED.search(core):
+                out.append(_DOUBLED.sub(r"\1", core))
+                out += self._decoded(core)
+        elif re.search(r"[a-z]", core):
+            out += self._decoded(core)
+        else:  # a word in another script, with its vowel signs
+            word = plain.strip("".join({c for c in plain if unicodedata.category(c)[0] in "PSZ"}))
+            out += [word] * any(map(str.isalpha, word))
+        wide = plain if plain.isalpha() else _EDGES.sub("", plain)
+        if wide != core and re.search(rf"[a-z]|[{_STAND}]", re.sub(r"\d", "", wide)):
+            out += self._decoded(wide)
+        return tuple(dict.fromkeys(out))
+
+    def _decoded(self, core: str) -> list[str]:
+        out: list[str] = []
+        if len(core) >= 3 and re.search(rf"[a-z{_STAND}]", core):
+            # each part that is too long for a word is a sequence of characters, taken in pieces that overlap
+            for lo in range(0, len(core), 48):
+                out += self.restorer.restore(core[lo : lo + 64]).split()
+        return out
 
     def read(self, text: str) -> list[tuple[str, ...]]:
         tokens = text.split()
@@ -176,17 +195,25 @@ class Reader:
         out = [known[t] for t in tokens]
         return out + self.spelled(tokens)
 
+    @staticmethod
+    def single(token: str) -> str:
+        """The character that a token consists of, punctuation around it aside, or none."""
+        if len(token) > 1:
+            token = _EDGES.sub("", token) if len(token) <= 4 else ""
+        return token if len(token) == 1 else ""
+
     def spelled(self, tokens: list[str]) -> list[tuple[str, ...]]:
         """Restored words of runs of single characters."""
         out: list[tuple[str, ...]] = []
-        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+        ones = {t: self.single(t) for t in set(tokens)}
+        chars = [ones[t] for t in tokens]
+        single = np.fromiter(map(len, chars), np.int64, len(chars)) == 1
         if single.any():
             edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
             for a, b in zip(edges[::2], edges[1::2]):
-                if b - a >= _SINGLE_RUN:
-                    run = " ".join(tokens[a:b])
-                    if len(set(tokens[a:b])) > 2:
-                        out += [tuple(self.restorer.restore(fold(run[lo : lo + 128])).split()) for lo in range(0, len(run), 96)]
+                if b - a >= _SINGLE_RUN and len(set(chars[a:b])) > 1:
+                    run = " ".join(chars[a:b])
+                    out += [tuple(self.restorer.restore(fold(run[lo : lo + 128])).split()) for lo in range(0, len(run), 96)]
         return out
 
 
@@ -252,15 +279,15 @@ class TokenScorer:
             self._forget()
         new = met - self.known
         for t in new:
-            if len(t) == 1:
+            if self.reader.single(t):
                 self.single.add(t)
             if (found := self._strongest(self.reader.words_of(t))) is not None:
                 self.said[t] = found
                 self.heavy.add(t)
         self.known |= new
         best = {f: w for w, f in (self.said[t] for t in met & self.heavy)}
-        # only a run with three different single characters is decoded as a whole
-        if len(met & self.single) > 2:
+        # only a run with two different single characters is decoded as a whole
+        if len(met & self.single) > 1:
             for words in self.reader.spelled(tokens):
                 if (found := self._strongest(words)) is not None:
                     best[found[1]] = found[0]

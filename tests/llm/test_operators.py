@@ -268,6 +268,26 @@ def test_toxicity_behind_disguises(spark):
     assert all(x.predicted == 0 for x in toxicity.score_toxicity(df, lab.limit(0)).collect())
 
 
+def test_toxicity_behind_doubled_letters_edges_and_short_runs(spark):
+    r = random.Random(6)
+    clean = ["the", "cat", "sat", "with", "some", "milk", "and", "bread", "under", "table", "house", "green"]
+    bad = ["idiot", "moron", "scum", "clown", "trash", "ass", "дурак"]
+    rows, labels = [], []
+    for i in range(800):
+        w = [r.choice(clean) for _ in range(30)]
+        if i % 4 == 0:
+            w.insert(5, bad[i // 4 % len(bad)])
+        rows.append((i, " ".join(w), "en", "s", 0, 0, "", ""))
+        labels.append((i, 1, int(i % 4 == 0)))
+    hidden = ["mooron", "iddiot", "!diot", "|diot", "(lown", "+rash", "as$", "s c u m, and", "a s s", "дурак!", "дурак,", "idiot!"]
+    rows += [(5000 + j, f"the cat {t} sat", "en", "s", 0, 0, "", "") for j, t in enumerate(hidden)]
+    rows += [(6000 + j, t, "en", "s", 0, 0, "", "") for j, t in enumerate(["the green, house! 1 2 3 (table) a b", "the $5 milk + bread!"])]
+    df, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score_toxicity(df, lab).collect()}
+    assert [t for j, t in enumerate(hidden) if not got[5000 + j]] == []
+    assert got[6000] == got[6001] == 0 and all(got[i] == t for i, _, t in labels)
+
+
 def test_urls(spark):
     rows = [
         (1, "https://A.Example.NET/en/1", "a.example.net", "/en/1", "example.net/en/", "allow"), (2, "http://x.net/en/", "x.net", "/en/", "net/", "block"),
