@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import materialize, mix, rolling, sliding_min
+from dossier.llm.common import BROADCAST_IDS, materialize, mix, rolling, sliding_min
 
 #: Bits of the filter of repeated anchors per such anchor, and its most bits, which bounds what is broadcast.
 FILTER_BITS, FILTER_MOST = 16, 1 << 28
@@ -58,6 +58,34 @@ def packed_filter(repeated: DataFrame, count: int) -> tuple[bytes, int]:
     return out.tobytes(), bits
 
 
+def units(docs: DataFrame, id_col: str, text_col: str):
+    """(thin, texts, copies): rows (_id, _text, _key) of docs; those whose repeats are judged, each once; a function that adds `copy` to rows.
+
+    A copy of a smaller document's text loses every window and says nothing that the other doesn't, so it is not among
+    texts. _key tells texts under one id apart. Null texts are empty, rows without id are not judged.
+    """
+    thin = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    named = thin.withColumn("_h", F.sha2("_text", 256)).withColumn("_key", F.xxhash64("_h"))
+    keys = materialize(named.where("_id is not null").select("_id", "_key", "_h"), "spans-keys")
+    repeated = materialize(keys.groupBy("_h").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "spans-classes")
+    is_hot = F.col("n") > F.lit(max(2, keys.count() * HOT_SHARE))
+    hot = F.broadcast(repeated.where(is_hot).select("_h", "rep"))  # fewer than 1 / HOT_SHARE
+    found = keys.join(hot, "_h").unionByName(keys.join(hot.select("_h"), "_h", "left_anti").join(repeated.where(~is_hot).select("_h", "rep"), "_h"))
+    gone = materialize(found.where("_id > rep").select("_id", "_key").distinct(), "spans-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    again = materialize(found.where("_id = rep").groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "spans-again")
+    thin = named.select("_id", "_text", "_key")
+    texts = thin.where("_id is not null").join(gone, ["_id", "_key"], "left_anti")
+    if not again.isEmpty():  # rows that repeat both id and text are one
+        few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+        texts = texts.join(few, ["_id", "_key"], "left_anti").unionByName(texts.join(few, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]))
+
+    def copies(rows: DataFrame) -> DataFrame:
+        return rows.join(gone.withColumn("copy", F.lit(True)), ["_id", "_key"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+
+    return thin, texts.select("_id", "_key", "_text"), copies
+
+
 def runs_of(mask: np.ndarray) -> np.ndarray:
     """(n, 2) starts and ends of the true stretches."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))

@@ -1,4 +1,4 @@
-"""Long repeated spans of words (de Bruijn graph) and of bytes (suffixes), and what is left without them."""
+"""Long repeated spans of words (de Bruijn graph), and what is left without them."""
 
 from __future__ import annotations
 
@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import WordHashes, in_arrow, materialize, only
-from dossier.llm.spans import HOT_SHARE, covered, masks, runs_of, shared_windows
+from dossier.llm.spans import HOT_SHARE, covered, masks, shared_windows
 
 WORD_WINDOW, WORD_ANCHOR = 50, 16
-BYTE_WINDOW, BYTE_ANCHOR = 50, 24
 
 
 def words() -> object:
@@ -22,10 +21,6 @@ def words() -> object:
     return lambda text: hashes.of(text.split())
 
 
-def byte_tokens() -> object:
-    return lambda text: np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-
-
 def _without_repeats(docs: DataFrame, id_col: str, text_col: str, tokenise, window: int, anchor: int, finish, schema: str) -> DataFrame:
     thin = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
     # copies of a smaller document lose everything, and say nothing that it doesn't
@@ -63,36 +58,10 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _without_repeats(docs, id_col, text_col, words, window, min(WORD_ANCHOR, max(1, window // 2)), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = BYTE_WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
-
-    Removes each byte covered by a run of `window` bytes that also starts in a document with a smaller id.
-    Null texts are empty; a null id neither gives nor loses bytes.
-    """
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, gone, spans, sha = [], [], [], []
-            for t, s, e in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x = t.as_py()
-                mask = covered(len(x), s, e, window) if s and len(x) >= window else np.zeros(len(x), bool)
-                n.append(len(x))
-                gone.append(int(mask.sum()))
-                spans.append(len(runs_of(mask)))
-                sha.append(hashlib.sha256(np.frombuffer(x, np.uint8)[~mask].tobytes() if s else x).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in (n, gone, spans)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return _without_repeats(docs, id_col, text_col, byte_tokens, window, min(BYTE_ANCHOR, max(1, window // 2)), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
 OP5_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 48, 1))) AS i, ws FROM w),
