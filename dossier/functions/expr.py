@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,37 @@ def compare(value: Column, op: Column, threshold: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), by_number).otherwise(by_text)
 
 
+def fill(sentence: str, **columns: Column) -> Column:
+    """sentence with each {name} replaced by its column; nulls read as nothing."""
+    parts = re.split(r"{(\w+)}", sentence)
+    return F.concat(*[F.coalesce(columns[x].cast("string"), F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(parts) if x])
+
+
+def title_case(c: Column) -> Column:
+    """A capital after anything but a letter, small letters elsewhere."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x))))), "")
+
+
+def word_jaccard(a: Column, b: Column) -> Column:
+    """Share of the different words of both texts that they have in common."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    x, y = words(a), words(b)
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+
+
+def key_of(prefix: str, *columns: Column | str) -> Column:
+    """An id that the same values always get."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", F.lit(prefix), *columns), 256), 1, 16))
+
+
+def severity_rank(severity: Column) -> Column:
+    out = None
+    for k, s in enumerate(fixed.SEVERITIES):
+        out = F.when(severity == s, k) if out is None else out.when(severity == s, k)
+    return out.otherwise(len(fixed.SEVERITIES))
+
+
 def weight(severity: Column) -> Column:
     out = None
     for s, w in fixed.SEVERITY_WEIGHTS:

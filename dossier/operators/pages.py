@@ -40,6 +40,36 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     return p.select("page_num", category.alias("category"), F.round("table_score", 6).alias("table_score"), F.round("image_score", 6).alias("image_score"))
 
 
+def route_pages(pages: DataFrame) -> DataFrame:
+    """page_num, category, reads_facts, reads_tables: what is read of each page. Pages of images and skipped pages give nothing."""
+    c = classify_pages(pages).join(extractable(pages).select("page_num", F.lit(True).alias("has_content")), "page_num", "left")
+    kind = F.col("category")
+    return c.select("page_num", "category", (kind.isin("TEXT", "MIXED") & F.coalesce("has_content", F.lit(False))).alias("reads_facts"), kind.isin("TABLE", "MIXED").alias("reads_tables"))
+
+
+def likely_tables(pages: DataFrame) -> DataFrame:
+    """Pages with words of tables, more than ten lines drawn or more than six boxes."""
+    return pages.where(F.coalesce("text", F.lit("")).rlike(fixed.TABLE_WORDS) | (F.col("line_count") > 10) | (F.col("rect_count") > 6))
+
+
+def simple_pages(pages: DataFrame) -> DataFrame:
+    """Short pages with fewer than three measures, which a small model may read."""
+    t = F.coalesce("text", F.lit(""))
+    return pages.where((t == "") | ((F.length(_strip(t)) <= 600) & (F.size(F.regexp_extract_all(t, F.lit(f"({fixed.MEASURES})"), 1)) < 3)))
+
+
+def pages_between(pages: DataFrame, start: int = fixed.REPORT_START, most: int | None = None) -> DataFrame:
+    """Pages from the start-th on, at most so many; page_num counts from 0."""
+    first = max(0, start - 1)
+    here = pages.where(F.col("page_num") >= first)
+    return here.where(F.col("page_num") < first + most) if most else here
+
+
+def texts_for(pages: DataFrame, least: int) -> DataFrame:
+    """Pages that say enough: more than LEAST_GRAPH_TEXT characters for triples, at least LEAST_FACT_TEXT for facts, LEAST_RULE_TEXT for rules."""
+    return pages.where(F.length(_strip(F.coalesce("text", F.lit("")))) >= least)
+
+
 def extractable(pages: DataFrame) -> DataFrame:
     """Pages with 80 characters, a digit and three lines that are not blank."""
     t = F.coalesce("text", F.lit(""))
