@@ -31,7 +31,7 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of documents that walk together.
 PART_BYTES = 2 << 20
 #: Windows that walk at once, and bits of a q-gram's code.
-_CHUNK, _GRAM_BITS = 1 << 15, 13
+_CHUNK, _GRAM_BITS = 1 << 15, 15
 
 
 def normalise(text: bytes | None) -> bytes:
@@ -99,18 +99,27 @@ class Walks:
         self.bits, self.steps = np.random.default_rng(seed).integers(0, 2, (steps, 256)).astype(np.int64), steps
 
     def keys(self, data: np.ndarray, starts: np.ndarray, exact: bool, spans: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(span, hashes of the windows that start there, last character each has read), spans ascending; data ends in `steps` zeros."""
+        """(span, codes of the windows that start there, last character each has read), spans ascending; data ends in `steps` zeros. The codes are written on."""
         at, h, step = starts.copy(), np.full(len(starts), 1 + exact, np.uint64), 0
         last = at
         for span in spans:
             while step < (span if exact else 2 * span):
-                c = data[at]
+                c = data.take(at)
                 h *= np.uint64(0x100000001B3)
                 h += c.view(np.uint64)
                 last = at
-                at = at + (1 if exact else self.bits[step][c])
+                at = at + (1 if exact else self.bits[step].take(c))
                 step += 1
-            yield span, mix(h * np.uint64(64) + np.uint64(span)), last
+            yield span, h, last
+
+
+def _key(codes: np.ndarray, span: int) -> np.ndarray:
+    return mix(codes * np.uint64(64) + np.uint64(span))
+
+
+def _cell(codes: np.ndarray, span: int, bits: int) -> np.ndarray:
+    """A quick hash of bits bits, for the table of codes that items have."""
+    return ((codes + np.uint64(span * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -135,11 +144,11 @@ class Items:
         self.spans: dict[bool, list[int]] = {True: [], False: []}
         pad = bytes(walks.steps)
         of: dict[tuple[bool, int], list[int]] = defaultdict(list)
-        # a byte for each q-gram's code, or a bit where the block has many items
+        # how often an item has each q-gram's code, or only whether where the block has many items
         self.packed = len(items) > 4000
         self.sets = np.zeros((len(items), (1 << _GRAM_BITS) >> 3 * self.packed), np.uint8)
         lengths = np.array([len(t) for _, t in self.texts], np.int64)
-        self.slack, self.length, self.q, self.least = lengths * percent // 100 + 8, lengths, lengths * 0, lengths * 0
+        self.slack, self.length, self.q, self.least, self.different = lengths * percent // 100 + 8, lengths, lengths * 0, lengths * 0, lengths * 0
         for k, (_, text) in enumerate(self.texts):
             if not text:
                 self.grams.append(Counter())
@@ -147,11 +156,15 @@ class Items:
                 kind = window_of(len(text), percent)
                 of[kind].append(k)
                 self.q[k], self.least[k] = common_grams(len(text), percent, kind[0])
-                there = np.zeros(1 << _GRAM_BITS, np.uint8)
-                there[_grams(_buffer([text]), int(self.q[k]))] = 1
+                there = np.bincount(_grams(_buffer([text]), int(self.q[k])), minlength=1 << _GRAM_BITS)
+                # of so many q-grams, those that repeat others may be in common without another code
+                self.different[k] = self.least[k] - int(there.sum()) + np.count_nonzero(there)
+                there = np.minimum(there, 255).astype(np.uint8)
                 self.grams.append(Counter(text[j : j + int(self.q[k])] for j in range(len(text) - int(self.q[k]) + 1)))
-                self.sets[k] = np.packbits(there, bitorder="little") if self.packed else there
+                self.sets[k] = np.packbits(there > 0, bitorder="little") if self.packed else there
         keys, item, offset = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        self.bits = min(26, max(16, int(lengths.sum() * 16).bit_length()))
+        self.there = np.zeros(1 << self.bits, bool)
         for (exact, span), members in sorted(of.items()):
             self.spans[exact].append(span)
             for k in members:
@@ -160,15 +173,13 @@ class Items:
                 starts = np.arange(0, len(text), span if exact else 1)
                 for _, h, last in walks.keys(_buffer([text, pad]), starts, exact, [span]):
                     use = np.flatnonzero(last < len(text))
-                    keys.append(h[use])
+                    keys.append(_key(h[use], span))
+                    self.there[_cell(h[use], span, self.bits)] = True
                     item.append(np.full(len(use), k))
                     offset.append(starts[use])
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         self.keys, self.item, self.offset = flat[order], np.concatenate(item)[order], np.concatenate(offset)[order]
-        self.bits = min(26, max(16, int(len(flat) * 16).bit_length()))
-        self.there = np.zeros(1 << self.bits, bool)
-        self.there[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def candidates(self, texts: list[bytes]) -> list[dict[int, list[tuple[int, int]]]]:
         """Of each text, by item: the stretches in which it may be, ascending. All texts walk at once."""
@@ -185,12 +196,15 @@ class Items:
             stride = 1 if exact else STRIDE
             for lo in range(0, len(data) - len(pad) if spans else 0, _CHUNK * stride):
                 starts = np.arange(lo, min(lo + _CHUNK * stride, len(data) - len(pad)), stride)
-                for _, h, _ in self.walks.keys(data, starts, exact, spans):
-                    window = np.flatnonzero(self.there[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-                    first, last = np.searchsorted(self.keys, h[window], "left"), np.searchsorted(self.keys, h[window], "right")
-                    n = last - first
-                    if not n.any():
+                for span, h, _ in self.walks.keys(data, starts, exact, spans):
+                    window = np.flatnonzero(self.there.take(_cell(h, span, self.bits)))
+                    key = _key(h[window], span)
+                    first = np.searchsorted(self.keys, key, "left")
+                    equal = self.keys.take(first, mode="clip") == key
+                    window, first, key = window[equal], first[equal], key[equal]
+                    if not len(window):
                         continue
+                    n = np.searchsorted(self.keys, key, "right") - first
                     j = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                     at, k = np.repeat(starts[window], n), self.item[j]
                     base = bases[np.searchsorted(bases, at, "right") - 1]
@@ -229,7 +243,18 @@ class Items:
                 row = k[part][:, None] * self.sets.shape[1]
                 got = flat.take(row + (code >> 3)) >> (code & 7).astype(np.uint8) & 1 if self.packed else flat.take(row + code)
                 got[at > (hi[part] - q)[:, None]] = 0
-                use[part] = np.count_nonzero(got, axis=1) >= self.least[k[part]]
+                near = np.flatnonzero(np.count_nonzero(got, axis=1) >= self.least[k[part]])
+                code = np.where(got[near], code[near], -1).astype(np.int16)
+                code.sort(axis=1)
+                new = np.ones(code.shape, bool)
+                new[:, 1:] = code[:, 1:] != code[:, :-1]
+                if self.packed:
+                    use[part[near]] = np.count_nonzero(new & (code >= 0), axis=1) >= self.different[k[part[near]]]
+                else:  # a q-gram counts as often as the item has it
+                    place = np.arange(code.shape[1], dtype=np.int32)
+                    again = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+                    of = flat.take(k[part[near]][:, None] * self.sets.shape[1] + np.maximum(code, 0))
+                    use[part[near]] = np.count_nonzero((code >= 0) & (again < of), axis=1) >= self.least[k[part[near]]]
         return use
 
     def matches(self, text: bytes, candidates: dict[int, list[tuple[int, int]]], percent: int) -> dict[int, int]:
