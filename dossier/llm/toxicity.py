@@ -7,6 +7,7 @@ word beginnings whose labels differ.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -148,6 +149,8 @@ _ENDS = re.compile(r"^[^\w@$]+|[^\w@$]+$|^_+|_+$")
 _STAND = re.escape("".join(DISGUISES))
 _EDGES = re.compile(rf"^[^\w{_STAND}]+|[^\w{_STAND}]+$|^_+|_+$")
 _DOUBLED = re.compile(r"(.)\1+")
+#: What ends a token and never stands for a letter.
+_TAIL = ".,;:?"
 
 
 class Reader:
@@ -159,7 +162,7 @@ class Reader:
     def words_of(self, token: str) -> tuple[str, ...]:
         """Plain words of a token in each of its readings: as written, with its repeats made single, and what the channel
         makes of it with and without the disguises at its ends. A word of letters without repeats has the first only."""
-        plain = fold(token)
+        plain = fold(token.rstrip(_TAIL))
         core = plain if plain.isalpha() else _ENDS.sub("", plain).rstrip("@$")
         out: list[str] = []
         if core.isalpha():
@@ -199,14 +202,14 @@ class Reader:
     def single(token: str) -> str:
         """The character that a token consists of, punctuation around it aside, or none."""
         if len(token) > 1:
-            token = _EDGES.sub("", token) if len(token) <= 4 else ""
+            token = _EDGES.sub("", token) if len(token) <= 4 and not token.isalpha() else ""
         return token if len(token) == 1 else ""
 
     def spelled(self, tokens: list[str]) -> list[tuple[str, ...]]:
         """Restored words of runs of single characters."""
         out: list[tuple[str, ...]] = []
-        ones = {t: self.single(t) for t in set(tokens)}
-        chars = [ones[t] for t in tokens]
+        ones = {t: self.single(t) for t in set(tokens) if len(t) <= 4}
+        chars = [ones.get(t, "") for t in tokens]
         single = np.fromiter(map(len, chars), np.int64, len(chars)) == 1
         if single.any():
             edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
@@ -263,25 +266,49 @@ class TokenScorer:
         self.heavy: set[str] = set()
         self.single: set[str] = set()
         self.said: dict[str, tuple[float, str]] = {}
+        self.of_word: dict[str, tuple[float, str] | None] = {}
 
     def _strongest(self, words: tuple[str, ...]) -> tuple[float, str] | None:
         weights, best = self.weights, None
         for w in words:
-            for f in (w, *(w[:n] + "*" for n in BEGINNINGS if len(w) >= n)):
-                if f in weights and (best is None or (weights[f], f) > best):
+            if w in weights and (best is None or (weights[w], w) > best):
+                best = (weights[w], w)
+            for n in BEGINNINGS:
+                if len(w) < n:
+                    break
+                if (f := w[:n] + "*") in weights and (best is None or (weights[f], f) > best):
                     best = (weights[f], f)
         return best
 
+    def _of_word(self, word: str) -> tuple[float, str] | None:
+        """_strongest(words_of(word)). Of letters, the channel can only make repeats single or double: where no such spelling has a weight, none is sought."""
+        plain = fold(word)
+        if plain.isascii() and plain.isalpha():
+            if not (repeats := _DOUBLED.findall(plain)):
+                return self._strongest((plain,))
+            if len(repeats) <= 6:
+                pieces, ends = _DOUBLED.split(plain)[::2], [(c, c * 2) for c in repeats]
+                spellings = ["".join(itertools.chain.from_iterable(zip(pieces, [*said, ""]))) for said in itertools.product(*ends)]
+                if self._strongest((plain, *spellings)) is None:
+                    return None
+        return self._strongest(self.reader.words_of(word))
+
     def signals(self, text: str) -> tuple[float, float]:
         tokens = text.split()
         met = set(tokens)
         if len(self.known) > self.most:
             self._forget()
         new = met - self.known
+        of_word = self.of_word
         for t in new:
-            if self.reader.single(t):
+            if len(t) <= 4 and self.reader.single(t):
                 self.single.add(t)
-            if (found := self._strongest(self.reader.words_of(t))) is not None:
+            word = t.rstrip(_TAIL).lower()  # reads as t does
+            if word in of_word:
+                found = of_word[word]
+            else:
+                found = of_word[word] = self._of_word(word)
+            if found is not None:
                 self.said[t] = found
                 self.heavy.add(t)
         self.known |= new
