@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +19,11 @@ _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one serves a session that is all on this machine; on a cluster that raises."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="dossier-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"
@@ -34,6 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(row, doc): each row of docs as a struct, with a number of its own: its id where ids are there and different, else one that is written down first."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"))
+    if ids.groupBy("i").agg(F.count("*").alias("n")).where("i is null or n > 1").isEmpty():
+        return docs.select(F.col(f"`{id_col}`").cast("long").alias("row"), doc)
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), doc), "numbered")
+
+
 #: Bytes after which a batch for Python ends, where the session leaves Spark's default of 64 MB: batches of
 #: whole texts stand several times in the memory of an executor and of each of its Python workers.
 BATCH_BYTES = 8 << 20

@@ -390,7 +390,7 @@ def shared_suffixes(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, in_
     # a slice of the anchors' hashes goes to one task: a few million of them
     slice_bits = max(4, (size >> 25).bit_length(), least.bit_length() - 1)
     met = texts.transform(in_arrow, _anchors(window, k, slice_bits), "slice int, rest binary, twice binary")
-    repeated = materialize(met.repartition(min(1 << slice_bits, 4 * least), "slice").transform(in_arrow, _repeated, "slice int, n long, rest binary"), "suffix-repeated")
+    repeated = materialize(met.repartitionById(min(1 << slice_bits, 4 * least), F.pmod("slice", F.lit(min(1 << slice_bits, 4 * least)))).transform(in_arrow, _repeated, "slice int, n long, rest binary"), "suffix-repeated")
     table, cell_bits = packed_filter(repeated, slice_bits)
     sent = spark.sparkContext.broadcast((table, slice_bits, cell_bits))
 
