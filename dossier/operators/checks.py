@@ -274,7 +274,7 @@ def rule_sector_edges(rules: DataFrame, rule_sectors: DataFrame) -> DataFrame:
     """rule_id, sector: every sector under which a rule with the same merge key was ever stored."""
     key = ["standard_name", "clause", "attribute"]
     first = rules.groupBy(*key).agg(F.min_by("rule_id", "seq").alias("kept"))
-    return rules.join(first, key).join(rule_sectors, "rule_id").select(F.col("kept").alias("rule_id"), "sector").distinct()
+    return rules.select("rule_id", *key).join(first, key).join(rule_sectors, "rule_id").select(F.col("kept").alias("rule_id"), "sector").distinct()
 
 
 # ---- table rows
