@@ -185,8 +185,10 @@ def by_category(rows: DataFrame) -> DataFrame:
 
 
 def total_score(rows: DataFrame) -> DataFrame:
-    s = scores(rows).where("kind = 'total'").select("total", "compliant", "non_compliant", F.col("weight").alias("total_weight"), "compliant_weight", (F.col("weight") - F.col("compliant_weight")).alias("non_compliant_weight"))
-    s = s.withColumn("score", F.coalesce(F.round(F.try_divide(F.col("compliant_weight") * 100.0, F.col("total_weight")), 1), F.lit(0.0)))
+    """One row, also for no rows at all."""
+    ok = F.col("classification") == "Compliant"
+    s = rows.agg(F.count("*").alias("total"), F.count_if(ok).alias("compliant"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total_weight"), F.coalesce(F.sum(F.when(ok, F.col("weight"))), F.lit(0)).alias("compliant_weight"))
+    s = s.withColumns({"non_compliant": F.col("total") - F.col("compliant"), "non_compliant_weight": F.col("total_weight") - F.col("compliant_weight"), "score": F.coalesce(F.round(F.try_divide(F.col("compliant_weight") * 100.0, F.col("total_weight")), 1), F.lit(0.0))})
     return s.withColumn("verdict", F.when(F.col("total") == 0, "NO_CHECKS_RUN").otherwise(E.verdict(F.col("score"))))
 
 

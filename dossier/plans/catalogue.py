@@ -226,6 +226,13 @@ ORACLES = {
     "facts_clean": f"WITH {FACT}, {CLEAN} SELECT fact_id, doc_id, attribute, value, confidence FROM clean",
     "page_classify": f"WITH {CLASSES} SELECT * FROM classes",
     "page_class_summary": f"WITH {CLASSES} SELECT category, count(*) AS n FROM classes GROUP BY 1",
+    "chunk_text": """WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE text <> ''),
+ w AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM d WHERE length(text) > 5000))),
+ c AS (SELECT doc_id, i, x, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
+ p AS (SELECT doc_id, list(x ORDER BY i) AS ws, list_concat([0::HUGEINT], list(upto ORDER BY i)) AS p, count(*) AS n FROM c GROUP BY doc_id),
+ s AS (SELECT doc_id, 0 AS k, 0::BIGINT AS a, greatest(1, len(list_filter(p, lambda x: x <= 5000)) - 1) AS b FROM p
+  UNION ALL SELECT doc_id, k + 1, a2, greatest(b + 1, len(list_filter(p, lambda x: x <= p[a2 + 1] + 5000)) - 1) FROM (SELECT s.doc_id, k, b, p, greatest(a, len(list_filter(p, lambda x: x < p[b + 1] - 150))) AS a2 FROM s JOIN p ON p.doc_id = s.doc_id WHERE b < n))
+ SELECT doc_id AS page_num, 0 AS chunk, text FROM d WHERE length(text) <= 5000 UNION ALL SELECT s.doc_id, k, array_to_string(ws[a + 1:b], ' ') FROM s JOIN p ON p.doc_id = s.doc_id""",
     "extractable_pages": f"WITH {PAGE} SELECT page_num FROM pg WHERE n >= 80 AND regexp_matches(t, '[0-9]') AND len(lines) >= 3",
     "numeric_mismatch": f"WITH {FACT}, {MISMATCH}",
     "missing_dependency": f"WITH {FACT}, {MISSING}",
