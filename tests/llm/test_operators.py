@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from dossier.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, substring_dedup, token_counts, toxicity, url_filter
+from dossier.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep long, sig string, _id string"
 
@@ -54,6 +54,31 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
 
 
+def test_extendible_directory_splits_until_buckets_fit(spark):
+    r = random.Random(1)
+    hashes = [r.getrandbits(64) - (1 << 63) for _ in range(500)] + [(7 << 50) + k for k in range(40)] + [-1, 0]
+    slots = spark.createDataFrame([(h,) for h in hashes], "h long")
+    cells, depth = exact_dedup.directory(slots, 10)
+    got = cells.collect()
+    cell = lambda h, bits: (h % (1 << 64)) >> (64 - bits) if bits else 0
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    assert {c.cell for c in got} == {signed(cell(h, depth)) for h in hashes} and depth >= 56  # neighbours differ in their last bits only
+    for c in got:
+        members = [h for h in hashes if signed(cell(h, c.bucket_depth)) == c.bucket]
+        assert c.held == len(members) <= 10
+        if c.bucket_depth:  # the bucket was split because the one above held too much
+            assert len([h for h in hashes if cell(h, c.bucket_depth - 1) == cell(members[0], c.bucket_depth - 1)]) > 10
+    rows = corpus()
+    found = exact_dedup.exact_dedup(table(spark, rows), capacity=3).collect()
+    assert len({x.bucket for x in found}) > 5 and {x.chain for x in found} == {1}
+
+
+def test_exact_dedup_of_repeated_and_missing_ids(spark):
+    rows = [(1, "A"), (1, "b"), (2, "a"), (None, "c"), (None, "C"), (3, None), (4, ""), (4, "")]
+    got = sorted((str(x.doc_id), str(x.keep_id), x.group_size, x.kept) for x in exact_dedup.exact_dedup(table(spark, rows)).collect())
+    assert got == [("1", "1", 1, True), ("1", "2", 2, False), ("2", "2", 2, True), ("3", "4", 3, False), ("4", "4", 3, True), ("4", "4", 3, True), ("None", "None", 2, True), ("None", "None", 2, True)]
+
+
 def test_ngram_join(spark):
     rows = corpus()
     sets = {}
@@ -119,17 +144,55 @@ def test_substring_dedup_words(spark):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone[i]), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def test_substring_dedup_bytes(spark):
-    rows = corpus()
-    raw = {i: (t or "").encode() for i, t in rows}
-    gone = brute_windows(raw, 50)
-    got = {r.doc_id: r for r in substring_dedup.dedup_bytes(table(spark, rows)).collect()}
-    for i, x in raw.items():
-        m = gone[i]
+def brute_rows(rows, window):
+    """Masks row by row: rows under one id take nothing from each other, rows without id neither give nor lose."""
+    first = {}
+    for i, t in rows:
+        for j in range(len(t) - window + 1 if i is not None else 0):
+            x = tuple(t[j : j + window])
+            first[x] = min(first.get(x, i), i)
+    for i, t in rows:
+        mask = [False] * len(t)
+        for j in range(len(t) - window + 1 if i is not None else 0):
+            if first[tuple(t[j : j + window])] < i:
+                mask[j : j + window] = [True] * window
+        yield mask
+
+
+def skewed(seed=3):
+    """A common line and a common passage in many rows, repeated and missing ids, zero bytes."""
+    r = random.Random(seed)
+    word = lambda a: "".join(r.choice(a) for _ in range(4))
+    line, passage = " ".join(word("abcdef") for _ in range(8)), " ".join(word("abcdef") for _ in range(60))
+    rows = corpus() + [(1000 + j, f"{' '.join(word('abcd\0é') for _ in range(20))}{line}{' '.join(word('abcd') for _ in range(20))}") for j in range(150)]
+    rows += [(2000 + j, f"{r.random()} {passage} {r.random()}") for j in range(150)]
+    return rows + [(1, rows[30][1]), (2000, "x" * 200), (2000, "x" * 200), (2001, passage), (None, passage), (5, "x" * 300 + "y"), (6, None)]
+
+
+@pytest.mark.parametrize("in_range", [150_000, 30])
+def test_suffix_dedup(spark, in_range):
+    rows = skewed()
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    want = []
+    for (i, x), m in zip(raw, brute_rows(raw, 50)):
         spans = sum(g and not (j and m[j - 1]) for j, g in enumerate(m))
-        kept = bytes(c for c, g in zip(x, m) if not g)
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(x), sum(m), spans, hashlib.sha256(kept).hexdigest())
-    assert substring_dedup.dedup_bytes(table(spark, [])).count() == 0
+        want.append((str(i), len(x), sum(m), spans, hashlib.sha256(bytes(c for c, g in zip(x, m) if not g)).hexdigest()))
+    got = suffix_dedup.dedup_bytes(table(spark, rows).repartition(5), in_range=in_range).collect()
+    assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
+    assert sum(w[2] for w in want) > 10_000
+    assert suffix_dedup.dedup_bytes(table(spark, [])).count() == 0
+
+
+def test_multikey_order_is_the_order_of_bytes():
+    import numpy as np
+
+    r = random.Random(2)
+    data = bytes(r.choice(b"\0ab") for _ in range(3000)) + b"ab" * 200 + bytes(64)
+    at = np.array([r.randrange(len(data) - 80) for _ in range(2000)])
+    for length in (3, 8, 20, 50):
+        order, new = suffix_dedup.alike(suffix_dedup.eights(np.frombuffer(data, np.uint8)), at, length)
+        said = [data[p : p + length] for p in at[order]]
+        assert said == sorted(said) and new.tolist() == [k == 0 or said[k] != said[k - 1] for k in range(len(said))]
 
 
 def test_token_counts(spark):
