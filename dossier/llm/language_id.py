@@ -7,18 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.llm.common import in_arrow
+
 #: Bytes of a window; neighbours overlap, so that no filter misses a place of the text.
 WINDOW, WIDTHS, FILTERS, DIMENSIONS = 256, (2, 3, 4), 8, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
-#: Labelled texts of a language that the network is trained on, at most, and the windows of one text; languages, at most.
-TRAIN_ROWS, TRAIN_WINDOWS, MOST_LANGUAGES = 600, 4, 512
+#: Labelled texts that the network is trained on, at most: of a language, and of all together. Every language has one at least.
+TRAIN_ROWS, TRAIN_TOTAL = 600, 20_000
+#: Windows of one such text, at most; longer texts give as many, spread over the whole of them.
+TRAIN_WINDOWS = 512
 STEPS, BATCH, RATE = 500, 64, 0.01
 #: Windows that go through the network at once.
 AT_ONCE = 512
 _LETTER = re.compile(r"[^\W\d_]")
+#: Bytes that may be part of a letter.
+_LETTER_BYTES = np.array([chr(c).isalpha() or c >= 0x80 for c in range(256)])
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -29,6 +35,12 @@ def windows(text: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, WINDOW)[::STRIDE]
 
 
+def telling(text: bytes) -> np.ndarray:
+    """The windows that may hold a letter; others say nothing of the language."""
+    w = windows(text)
+    return w[_LETTER_BYTES[w].any(axis=1)]
+
+
 class Network:
     """Embedding, a convolution of each width, max over the window, softmax."""
 
@@ -117,37 +129,48 @@ def log_probabilities(x: np.ndarray, tables: list, out: np.ndarray, out_bias: np
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS) -> tuple[list[str], Network | None]:
-    """Languages and network from docs (_id, _text, _lang), of rows whose crc32(id) mod 3 is not 1: per language the train_rows texts with the smallest hashes, a few windows of each."""
+    """Languages and network from docs (_id, _text, _lang), of rows whose crc32(id) mod 3 is not 1: per language the train_rows texts with the smallest hashes.
+
+    One pass counts the languages, one takes all their texts: about twice the bound leaves the scan, wherever it is, then
+    each language is cut to it. Windows are cut on the executors, from whole texts.
+    """
     usable = docs.where("_lang is not null and _text is not null").where(F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1, F.lit(False)))
-    counted = dict(usable.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(MOST_LANGUAGES).collect())
-    names = list(counted)
-    x, y = [], []
-    names.sort()
-    for k, name in enumerate(names):
-        # about twice the bound leaves the scan, wherever it is, so what reaches the driver does not grow with the partitions
-        few = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * train_rows / counted[name]))
-        rows = usable.where((F.col("_lang") == name) & few).select(F.substring("_text", 1, 64 * WINDOW).alias("t"), F.xxhash64("_id").alias("o"), "_id").orderBy("o", "_id").limit(train_rows).collect()
-        for r in rows:
-            if not _LETTER.search(bytes(r.t).decode("utf-8", "replace")):
-                continue
-            w = windows(bytes(r.t))
-            pick = np.linspace(0, len(w) - 1, min(len(w), TRAIN_WINDOWS)).astype(int)
-            x.append(w[pick])
-            y += [k] * len(pick)
-    if not x:
-        return names, None
-    made = sorted(set(y))
+    counted = {r["_lang"]: r["count"] for r in usable.groupBy("_lang").count().collect()}  # a row for each language
+    if not counted:
+        return [], None
+    per = max(1, min(train_rows, TRAIN_TOTAL // len(counted)))
+    bounds = docs.sparkSession.createDataFrame([(name, int((1 << 40) * min(1.0, (2 * per + 20) / n))) for name, n in counted.items()], "_lang string, most long")
+    hashed = usable.join(F.broadcast(bounds), "_lang").where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 40)) < F.col("most"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    rows = hashed.select("_lang", "_id", "_text", place.alias("place")).where(F.col("place") <= per)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text = t.as_py()
+                if _LETTER.search(text.decode("utf-8", "replace")):
+                    w = telling(text)
+                    out.append((name, k, w[np.linspace(0, len(w) - 1, min(len(w), TRAIN_WINDOWS)).astype(int)].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], ["lang", "place", "windows"])
+
+    found = sorted(tuple(r) for r in rows.select("_lang", "place", "_text").transform(in_arrow, cut, "lang string, place int, windows binary").collect())  # TRAIN_TOTAL rows at most
+    if not found:
+        return sorted(counted), None
+    made = sorted({name for name, _, _ in found})
+    x = [np.frombuffer(bytes(w), np.uint8).reshape(-1, WINDOW) for _, _, w in found]
+    y = np.repeat([made.index(name) for name, _, _ in found], [len(w) for w in x])
     net = Network(len(made))
-    net.fit(np.concatenate(x), np.searchsorted(made, y), steps)
-    return [names[k] for k in made], net
+    net.fit(np.concatenate(x), y, steps)
+    return made, net
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs.
 
-    Every window of the whole text goes through the network; the mean of their log probabilities decides.
-    Null, empty and letterless texts are `und` with score 0, as is everything when no row can be
-    learned from. A null id is not held out and not learned from. Other columns are ignored; an
+    Every window of the whole text that may hold a letter goes through the network; the mean of their log probabilities decides.
+    Texts of any length are read whole. Null, empty and letterless texts are `und` with score 0, as is everything when no row can be
+    learned from. Equally likely languages go by name; rows that repeat get the same answer. A null id is not held out and not learned from. Other columns are ignored; an
     empty table gives an empty result.
     """
     thin = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
@@ -172,7 +195,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for j in range(n):
                 text = b.column(1)[j].as_py()
                 if tables and text and _LETTER.search(text.decode("utf-8", "replace")):
-                    w = windows(text)
+                    w = telling(text)
                     held.append(w)
                     owner.append(np.full(len(w), j))
                     size += len(w)
@@ -187,7 +210,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(np.where(count > 0, p.max(1), 0.0), pa.float64())], ["_id", "lang_pred", "score"])
 
     kind = thin.schema["_id"].dataType.simpleString()
-    found = thin.select("_id", "_text").mapInArrow(scan, f"_id {kind}, lang_pred string, score double")
+    found = thin.select("_id", "_text").transform(in_arrow, scan, f"_id {kind}, lang_pred string, score double")
     held_out = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return found.select(F.col("_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
 
