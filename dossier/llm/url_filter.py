@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,27 +14,30 @@ from dossier.llm.common import LOWER, UPPER
 
 #: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: One of these rejects a url.
-STRICT_TERMS = ("porn", "xxx", "hentai", "camgirl", "milf", "sexcam", "escort", "warez", "keygen", "casino")
-#: SOFT_LIMIT different ones of these reject it.
-SOFT_TERMS = ("adult", "sex", "nude", "erotic", "hot", "teen", "bet", "poker", "free", "crack", "download", "torrent", "pills", "viagra", "loan", "dating", "live", "cam")
-SOFT_LIMIT = 2
+#: The vocabulary that comes with the package: a term and its weight on each line.
+VOCABULARY = Path(__file__).with_name("url_terms.tsv")
+#: Total weight of different terms that rejects a url. A term of this weight is strict, one of less is soft.
+REJECT = 1.0
+
+
+def vocabulary(path: str | Path = VOCABULARY) -> dict[str, float]:
+    """Terms (of ASCII letters and digits, small) and their weights, from a file on the driver."""
+    lines = [x.split("\t") for x in Path(path).read_text(encoding="utf-8").splitlines() if x.strip() and not x.startswith("#")]
+    terms = {term.strip(): float(weight) for term, weight in lines}
+    if bad := [t for t, w in terms.items() if not re.fullmatch("[a-z0-9]+", t) or w <= 0]:
+        raise ValueError(f"terms must be small ASCII letters and digits, weights positive: {bad[:5]}")
+    return terms
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to /, ?, # or the end, A-Z lower-cased. Path: from there up to ?, # or the end. Both are empty without ://."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr(f"substring({_sql(url)}, instr({_sql(url)}, '://') + 3)")).otherwise("")
-    rest = F.coalesce(rest, F.lit(""))
+    rest = F.coalesce(F.when(at > 0, url.substr(at + 3, F.length(url))), F.lit(""))
     host = F.regexp_extract(rest, "(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(rest, "(?s)^[^/?#]*([^?#]*)", 1)
     return F.translate(host, UPPER, LOWER), path
 
 
-def _sql(c: Column) -> str:
-    return c._jc.toString()
-
-
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule whose host is the url's or a parent domain of it and whose path starts the url's; else nulls."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -47,55 +52,55 @@ def _edge(text: str, at: int) -> bool:
     return not (0 <= at < len(text)) or not (text[at].isascii() and text[at].isalnum())
 
 
-def count_terms(urls: Sequence[str | None], strict: Sequence[str], soft: Sequence[str], machine=None) -> list[tuple[int, int]]:
-    """(strict hits, distinct soft terms) of each url, A-Z lower-cased; a term counts where no ASCII letter or digit adjoins it."""
-    machine = machine or automaton(strict, soft)
+def count_terms(urls: Sequence[str | None], terms: dict[str, float], machine=None) -> list[tuple[int, int, float]]:
+    """(strict hits, distinct soft terms, weight of distinct terms) of each url, A-Z lower-cased; a term counts where no ASCII letter or digit adjoins it."""
+    machine = machine or automaton(terms)
     fold, out = str.maketrans(UPPER, LOWER), []
     for url in urls:
         text, hard, seen = (url or "").translate(fold), 0, set()
-        for end, (term, is_strict) in machine.iter(text):
+        for end, term in machine.iter(text):
             if _edge(text, end + 1) and _edge(text, end - len(term)):
-                if is_strict:
-                    hard += 1
-                else:
-                    seen.add(term)
-        out.append((hard, len(seen)))
+                hard += terms[term] >= REJECT
+                seen.add(term)
+        out.append((hard, sum(terms[t] < REJECT for t in seen), round(sum(terms[t] for t in sorted(seen)), 9)))
     return out
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]):
+def automaton(terms: dict[str, float]):
     import ahocorasick
 
     made = ahocorasick.Automaton()
-    for terms, is_strict in ((soft, False), (strict, True)):
-        for t in terms:
-            made.add_word(t, (t, is_strict))
-    made.make_automaton()
+    for t in terms:
+        made.add_word(t, t)
+    if terms:
+        made.make_automaton()
     return made
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT_TERMS, soft=SOFT_TERMS, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict, strict_hits, soft_hits for each row of pages.
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, terms: dict[str, float] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, strict_hits, soft_hits, weight for each row of pages.
 
-    A rule decides where one fits; else one strict term or soft_limit different soft terms block, and
-    anything else is allowed. A null url has empty host and path, no hits, and is allowed. Only the two
-    named columns are read; repeated rows each get their row; an empty table gives an empty result.
+    A rule decides where one fits; else a url whose different terms weigh REJECT together is blocked: one strict term, or
+    several soft ones. Anything else is allowed. A null url has empty host and path, no hits, and is allowed.
+    Urls of any length are read whole; only the two named columns are read; repeated rows each get their row; an empty table gives an
+    empty result. terms: see vocabulary, which is the default.
     """
+    terms = vocabulary() if terms is None else terms
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(strict, soft)
+        machine = automaton(terms)
         for b in batches:
-            hits = count_terms(b.column(1).to_pylist(), strict, soft, machine)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in hits], pa.int32()), pa.array([s for _, s in hits], pa.int32())], ["_id", "_url", "strict_hits", "soft_hits"])
+            hits = count_terms(b.column(1).to_pylist(), terms, machine) if terms else [(0, 0, 0.0)] * b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([h[j] for h in hits], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.float64())))], ["_id", "_url", "strict_hits", "soft_hits", "weight"])
 
     thin = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
     kind = thin.schema["_id"].dataType.simpleString()
-    found = thin.mapInArrow(scan, f"_id {kind}, _url string, strict_hits int, soft_hits int")
+    found = thin.mapInArrow(scan, f"_id {kind}, _url string, strict_hits int, soft_hits int, weight double")
     host, path = host_and_path(F.col("_url"))
     parts = found.select("*", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    by_terms = F.when((F.col("strict_hits") > 0) | (F.col("soft_hits") >= soft_limit), "block").otherwise("allow")
-    return parts.select(F.col("_id").alias("page_id"), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "strict_hits", "soft_hits")
+    by_terms = F.when(F.col("weight") >= REJECT, "block").otherwise("allow")
+    return parts.select(F.col("_id").alias("page_id"), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_terms).alias("verdict"), "strict_hits", "soft_hits", "weight")
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -110,20 +115,21 @@ def _hits(term: str, count: bool) -> str:
     return f"len(regexp_extract_all(regexp_replace(u, '([^a-z0-9])', '\\1\\1', 'g'), '{pattern}'))"
 
 
+_TERMS = vocabulary()
 OP9_SQL = f"""
 WITH a AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u FROM pages),
 b AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM a),
 c AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-  {" + ".join(_hits(t, True) for t in STRICT_TERMS)} AS strict_hits,
-  {" + ".join(_hits(t, False) for t in SOFT_TERMS)} AS soft_hits FROM b),
+  {" + ".join(_hits(t, True) for t, w in _TERMS.items() if w >= REJECT)} AS strict_hits,
+  {" + ".join(_hits(t, False) for t, w in _TERMS.items() if w < REJECT)} AS soft_hits,
+  round({" + ".join(f"{w}::DOUBLE * {_hits(t, False)}" for t, w in sorted(_TERMS.items()))}, 9) AS weight FROM b),
 d AS (SELECT *, CASE
   WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM c)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-       WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
-  CAST(strict_hits AS INTEGER) AS strict_hits, CAST(soft_hits AS INTEGER) AS soft_hits
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN weight >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict,
+  CAST(strict_hits AS INTEGER) AS strict_hits, CAST(soft_hits AS INTEGER) AS soft_hits, weight
 FROM d
 """

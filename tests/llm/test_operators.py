@@ -307,6 +307,31 @@ def test_language_id(spark):
     held = [x for x in rows[:120] if zlib.crc32(str(x[0]).encode()) % 3 == 1]
     assert all(got[x[0]].held_out for x in held)
     assert sum(got[x[0]].lang_pred == x[2] for x in held) >= 0.95 * len(held)
+    assert language_id.identify_languages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_language_id_learns_from_whole_texts_and_rare_languages(spark):
+    r = random.Random(7)
+    noise = "0123 456 " * 4000  # what tells the language stands far behind the beginning
+    rows = [(i, noise + " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(300)), l, "s", 0, 0, "", "") for i in range(60) for l, a in [r.choice([("aa", "abc"), ("bb", "xyz")])]]
+    rows += [(500 + i, "".join(r.choice("mnop ") for _ in range(400)), "rare", "s", 0, 0, "", "") for i in range(3)]
+    got = {x.doc_id: x for x in language_id.identify_languages(spark.createDataFrame(rows, SCHEMA), steps=150).collect()}
+    held = [x for x in rows[:60] if zlib.crc32(str(x[0]).encode()) % 3 == 1]
+    assert sum(got[x[0]].lang_pred == x[2] for x in held) >= 0.9 * len(held)
+    assert [got[500 + i].lang_pred for i in range(3)] == ["rare"] * 3
+
+
+def test_network_equals_a_plain_convolution():
+    import numpy as np
+
+    net = language_id.Network(3)
+    x = language_id.windows("Ein Satz, der länger ist als nichts. ".encode() * 12)
+    quick = language_id.log_probabilities(x, net.tables(), net.out, net.out_bias)
+    for j, w in enumerate(x):
+        e = net.embed[w]
+        pooled = [max(float((e[p : p + n, :, None] * c[:, :, [f]]).sum() + b[f]) for p in range(len(w) - n + 1)) for n, c, b in zip(language_id.WIDTHS, net.conv, net.bias) for f in range(language_id.FILTERS)]
+        s = np.maximum(pooled, 0) @ net.out + net.out_bias
+        assert np.allclose(quick[j], s - np.log(np.exp(s).sum()), atol=1e-3)
 
 
 def test_toxicity_behind_disguises(spark):
@@ -356,12 +381,26 @@ def test_urls(spark):
         (1, "https://A.Example.NET/en/1", "a.example.net", "/en/1", "example.net/en/", "allow"), (2, "http://x.net/en/", "x.net", "/en/", "net/", "block"),
         (3, "http://example.com/de/x?q", "example.com", "/de/x", "example.com/de/", "block"), (4, "https://b.org/fr/#t", "b.org", "/fr/", "org/fr/", "allow"),
         (5, None, "", "", None, "allow"), (6, "nothing", "", "", None, "allow"), (7, "http://c.com/casino/", "c.com", "/casino/", None, "block"),
-        (8, "http://c.com/casinos/", "c.com", "/casinos/", None, "allow"), (9, "http://c.com/free-poker", "c.com", "/free-poker", None, "block"), (10, "http://c.com/free", "c.com", "/free", None, "allow"),
+        (8, "http://c.com/xcasino/", "c.com", "/xcasino/", None, "allow"), (9, "http://c.com/free-poker", "c.com", "/free-poker", None, "block"), (10, "http://c.com/free", "c.com", "/free", None, "allow"),
         (11, "http://d.net", "d.net", "", None, "allow"), (12, "http://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
     ]
     df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
     got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.filter_urls(df).collect()}
     assert got == {r[0]: r[2:] for r in rows}
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+    light = {"free": 0.4, "poker": 0.4, "casino": 0.3}
+    weighed = {x.page_id: (x.verdict, x.weight) for x in url_filter.filter_urls(df.unionByName(spark.createDataFrame([(20, "http://c.com/free-poker?casino,casino"), (20, "http://c.com/free-poker-free")], df.schema)), terms=light).where("page_id in (9, 20)").collect()}
+    assert weighed[9] == ("allow", 0.8) and weighed[20] in (("block", 1.1), ("allow", 0.8))
+
+
+def test_url_vocabulary_is_a_file(tmp_path):
+    (tmp_path / "v.tsv").write_text("# note\nbad\t1\nodd\t0.25\n")
+    terms = url_filter.vocabulary(tmp_path / "v.tsv")
+    assert terms == {"bad": 1.0, "odd": 0.25}
+    assert url_filter.count_terms(["x/bad.bad/odd", None, "badodd", "ODD"], terms) == [(2, 1, 1.25), (0, 0, 0.0), (0, 0, 0.0), (0, 1, 0.25)]
+    (tmp_path / "v.tsv").write_text("not ok\t1\n")
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(tmp_path / "v.tsv")
 
 
 def test_toxicity_by_distinct_token_equals_the_plain_path():
