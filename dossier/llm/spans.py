@@ -1,61 +1,28 @@
-"""Which windows of a text also start in a smaller document: anchors, contexts and masks.
+"""What finds long repeated spans of words and of bytes: texts that are judged, anchors, a filter of repeated anchors, masks.
 
-A window of W tokens holds W - K + 1 runs of K tokens; its anchor is the one with the least hash
-(leftmost among equals). Equal windows have equal anchors at equal offsets, so windows need only meet
-under their anchors, of which a text has about 2 / (W - K + 2) per token. Anchors that occur in one
-document only are left out before any window is sent.
+A window of W tokens holds W - K + 1 runs of K tokens; the one with the least hash (leftmost among equals) is its anchor,
+so equal windows have equal anchors at equal offsets. Neighbouring windows with one anchor are a stretch. Stretches whose
+anchor occurs in one text only are left out before they are sent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import BROADCAST_IDS, materialize, mix, rolling, sliding_min
+from dossier.llm.common import BROADCAST_IDS, in_arrow, materialize, sliding_min
 
-#: Bits of the filter of repeated anchors per such anchor, and its most bits, which bounds what is broadcast.
-FILTER_BITS, FILTER_MOST = 16, 1 << 28
-#: An anchor is hot with more than this share of all documents.
+#: A text is hot with more than this share of all rows.
 HOT_SHARE = 0.001
-_SALT = np.uint64(0xA0761D6478BD642F)
-
-
-def anchors(tokens: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each run of k tokens, place of the anchor of each window)."""
-    runs = rolling(tokens, k)
-    w = window - k + 1
-    if len(runs) < w:
-        return runs, np.empty(0, np.int64)
-    # the place goes into the low bits, so that the minimum is the leftmost least run
-    bits = np.uint64(max(1, int(len(runs)).bit_length()))
-    keyed = ((mix(runs ^ _SALT) >> bits) << bits) | np.arange(len(runs), dtype=np.uint64)
-    return runs, (sliding_min(keyed, w) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-
-
-def packed_filter(repeated: DataFrame, count: int) -> tuple[bytes, int]:
-    """A bit for each hash of repeated (a): of a size that goes with their number up to a bound, past which it only lets more through."""
-    bits = min(FILTER_MOST, 1 << max(16, int(count * FILTER_BITS).bit_length()))
-    slices = 16
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            place = b.column(1).to_numpy().view(np.uint64) & np.uint64(bits - 1)
-            which, at = (place // np.uint64(bits // slices)).astype(np.int64), (place % np.uint64(bits // slices)).astype(np.int64)
-            for k in np.unique(which):
-                held.setdefault(int(k), np.zeros(bits // slices, bool))[at[which == k]] = True
-        for k, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(x).tobytes()], pa.binary())], ["slice", "bits"])
-
-    rows = repeated.withColumn("slice", F.expr(f"(a & {bits - 1}L) div {bits // slices}")).repartition(slices, "slice").select("slice", "a").mapInArrow(mark, "slice long, bits binary").collect()
-    out = np.zeros((slices, bits // slices // 8), np.uint8)
-    for k, x in rows:
-        out[k] |= np.frombuffer(bytes(x), np.uint8)
-    return out.tobytes(), bits
+#: Anchors that a task holds before they are sent.
+HELD = 1 << 20
+#: Bits of the filter of repeated anchors for each of them, and at most: beyond, it lets more stretches through.
+FILTER_BITS, FILTER_MOST = 12, 1 << 30
+_PLACE_BITS = np.uint64(24)
 
 
 def units(docs: DataFrame, id_col: str, text_col: str):
@@ -92,121 +59,123 @@ def runs_of(mask: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def shared_windows(docs: DataFrame, tokenise, window: int, k: int) -> DataFrame:
-    """_id, starts, ends: stretches of windows (first start, last start + 1) of each document that also start in one with a smaller id.
+def covered(n: int, starts: list[int], ends: list[int], window: int) -> np.ndarray:
+    """Which of n tokens a shared window covers."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.array(starts, np.int64), 1)
+    np.add.at(change, np.minimum(np.array(ends, np.int64) - 1 + window, n), -1)
+    return np.cumsum(change[:-1]) > 0
 
-    docs: _id, _text, ids not null and different texts under different ids. tokenise() makes a function
-    from bytes to tokens (uint64).
-    """
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = tokenise()
-        held, ids, per, n = [], [], [], 0
+class Stretches:
+    """The stretches of windows of some texts whose tokens stand side by side: first window, number of windows, place and hash of the anchor, owner (number of the text).
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), np.array(per)))], ["a", "_id"])
+    h: hash of each run of k tokens; lengths: tokens of each text, a window at least.
+    """
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                runs, at = anchors(of(t.as_py() or b""), window, k)
-                if len(at):
-                    x = np.unique(runs[np.unique(at)])
-                    held.append(x)
-                    ids.append(i)
-                    per.append(len(x))
-                    n += len(x)
-                    if n > 200_000:
-                        yield rows()
-                        held, ids, per, n = [], [], [], 0
+    def __init__(self, h: np.ndarray, lengths: np.ndarray, window: int, k: int):
+        ends = np.cumsum(lengths)
+        self.bases = ends - lengths
+        keyed = ((h >> _PLACE_BITS) << _PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
+        at = (sliding_min(keyed, window - k + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        whole = np.ones(len(at) + window, bool)
+        whole[(ends[:, None] - np.arange(1, window)).ravel()] = False
+        whole = whole[: len(at)]
+        new = np.concatenate(([True], at[1:] != at[:-1]))
+        self.first = np.flatnonzero(whole & (new | ~np.concatenate(([False], whole[:-1]))))
+        last = np.flatnonzero(whole & np.concatenate((new[1:] | ~whole[1:], [True])))
+        self.windows = last - self.first + 1
+        self.place = at[self.first]
+        self.hash = h[self.place]
+        self.owner = np.searchsorted(self.bases, self.first, "right") - 1
+
+
+#: Batches of (_id, _key, _text) to (stretches, and of each of their texts: number in this task, id, key, place of its first token).
+Parts = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]
+
+
+def _anchors(parts: Parts, slice_bits: int):
+    """Different anchors of each slice of their hashes, as 32 bits each, and whether two texts of this task have them."""
+
+    def packed(h: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(h)
+        h, text = h[order], text[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        twice = np.minimum.reduceat(text, starts) != np.maximum.reduceat(text, starts)
+        h = h[starts]
+        rest = ((h >> np.uint64(32 - slice_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        cuts = np.searchsorted(h >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1).astype(np.uint64))
+        of = [(s, a, z) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if a < z]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in of], pa.int32()), pa.array([rest[a:z].tobytes() for _, a, z in of], pa.binary()), pa.array([np.packbits(twice[a:z]).tobytes() for _, a, z in of], pa.binary())], ["slice", "rest", "twice"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, n = [], [], 0
+        for part, number, *_ in parts(batches):
+            held.append(part.hash)
+            texts.append(number[part.owner])
+            n += len(part.hash)
+            if n >= HELD:
+                yield packed(np.concatenate(held), np.concatenate(texts))
+                held, texts, n = [], [], 0
         if n:
-            yield rows()
+            yield packed(np.concatenate(held), np.concatenate(texts))
 
-    met = docs.mapInArrow(emit, "a long, _id long").groupBy("a").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("df")).where("lo < hi")
-    repeated = materialize(met.select("a", "df"), "spans-repeated")
-    total = docs.count()
-    is_hot = F.col("df") > F.lit(max(1000, total * HOT_SHARE))
-    count = repeated.count()
-    packed, bits = packed_filter(repeated.select("a"), count)
-    sent = docs.sparkSession.sparkContext.broadcast(packed)
+    return scan
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table = tokenise(), np.frombuffer(sent.value, np.uint8)
-        out = []
-        held = 0
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.int32()), pa.array([r[4] for r in out], pa.binary())], ["a", "_id", "at", "start", "hashes"])
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each slice, the anchors that two texts have."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for s, rest, twice in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            x = np.frombuffer(rest, np.uint32)
+            held.setdefault(s, []).append((x, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(x)).astype(bool)))
+    for s, got in held.items():
+        x, twice = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        order = np.argsort(x)
+        x, twice = x[order], twice[order]
+        again = np.concatenate(([False], x[1:] == x[:-1]))
+        x = np.unique(x[twice | again])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["slice", "n", "rest"])
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                tokens = of(t.as_py() or b"")
-                runs, at = anchors(tokens, window, k)
-                if not len(at):
-                    continue
-                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                last = np.append(first[1:], len(at))
-                a = runs[at[first]]
-                place = a & np.uint64(bits - 1)
-                there = np.flatnonzero((table[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1)
-                if not len(there):
-                    continue
-                whole = rolling(tokens, window)
-                for j in there:
-                    out.append((int(a[j].view(np.int64)), i, int(at[first[j]]), int(first[j]), whole[first[j] : last[j]].tobytes()))
-                    held += int(last[j] - first[j])
-                if held > 400_000:
-                    yield rows()
-                    out, held = [], 0
-        if out:
-            yield rows()
-
-    sent_rows = docs.mapInArrow(windows, "a long, _id long, at int, start int, hashes binary")
-    hot = materialize(repeated.where(is_hot).select("a"), "spans-hot")  # few: a document has a bounded number of anchors per token
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by anchor, then id: a window seen under this anchor in a smaller document is shared."""
-        now, seen = None, {}
-        for b in batches:
-            ids, starts, ends = [], [], []
-            for a, i, _, start, x in zip(*(c.to_pylist() for c in b.columns)):
-                if a != now:
-                    now, seen = a, {}
-                h = np.frombuffer(x, np.uint64).tolist()
-                mask = np.fromiter((seen.setdefault(v, i) != i for v in h), bool, len(h))
-                for lo, hi in runs_of(mask):
-                    ids.append(i)
-                    starts.append(start + int(lo))
-                    ends.append(start + int(hi))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["_id", "start", "end"])
-
-    few = sent_rows.join(F.broadcast(hot), "a", "left_anti") if not hot.isEmpty() else sent_rows
-    cold = few.repartition("a").sortWithinPartitions("a", "_id", "at").mapInArrow(settle, "_id long, start int, end int")
-    if hot.isEmpty():
-        return cold
-
-    # a hot anchor's windows meet by their own hashes: least ids are combined per task, then each window finds its own
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, starts, hashes = b.column(1).to_pylist(), b.column(3).to_pylist(), [np.frombuffer(x.as_py(), np.int64) for x in b.column(4)]
-            n = [len(h) for h in hashes]
-            if not n:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([np.arange(s, s + m, dtype=np.int32) for s, m in zip(starts, n)]))], ["h", "_id", "start"])
 
-    each = materialize(sent_rows.join(F.broadcast(hot), "a").select("a", "_id", "at", "start", "hashes").mapInArrow(spread, "h long, _id long, start int"), "spans-hot-windows")
-    owners = each.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi")
-    warm = each.join(owners, "h").where("_id > lo").select("_id", "start", (F.col("start") + 1).alias("end"))
-    return cold.unionByName(warm)
+class Filter:
+    """Whether an anchor may be a repeated one."""
 
+    def __init__(self, table: bytes, slice_bits: int, cell_bits: int):
+        self.table, self.shift = np.frombuffer(table, np.uint8), np.uint64(64 - slice_bits - cell_bits)
 
-def masks(found: DataFrame) -> DataFrame:
-    """_id, starts, ends: the stretches of each document in one row; a document bounds their number."""
-    return found.groupBy("_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        cell = h >> self.shift
+        return ((self.table[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
 
 
-def covered(n: int, starts: list[int], ends: list[int], window: int) -> np.ndarray:
-    """Which of n tokens a shared window covers."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, np.array(starts, np.int64), 1)
-    np.add.at(change, np.minimum(np.array(ends, np.int64) - 1 + window, n), -1)
-    return np.cumsum(change[:-1]) > 0
+def packed_filter(repeated: DataFrame, slice_bits: int) -> tuple[bytes, int]:
+    """(a bit for each cell of each slice, bits of a cell's number within its slice)."""
+    count = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cell_bits = min(max(3, (count * FILTER_BITS >> slice_bits).bit_length()), FILTER_MOST.bit_length() - 1 - slice_bits, 32)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                there = np.zeros(1 << cell_bits, bool)
+                there[np.frombuffer(rest, np.uint32) >> np.uint32(32 - cell_bits)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(there).tobytes()], pa.binary())], ["slice", "bits"])
+
+    table = np.zeros((1 << slice_bits, 1 << cell_bits >> 3), np.uint8)
+    for s, bits in repeated.select("slice", "rest").mapInArrow(mark, "slice int, bits binary").collect():  # FILTER_MOST bits in all
+        table[s] = np.frombuffer(bytes(bits), np.uint8)
+    return table.tobytes(), cell_bits
+
+
+def anchor_filter(texts: DataFrame, parts: Parts, name: str) -> tuple[bytes, int, int]:
+    """The arguments of Filter, for the anchors that two rows of texts (_id, _key, _text) have."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a slice of the anchors' hashes goes to one task: a few million of them
+    slice_bits = max(4, (size >> 25).bit_length(), least.bit_length() - 1)
+    tasks = min(1 << slice_bits, 4 * least)
+    met = texts.transform(in_arrow, _anchors(parts, slice_bits), "slice int, rest binary, twice binary")
+    repeated = materialize(met.repartitionById(tasks, F.pmod("slice", F.lit(tasks))).transform(in_arrow, _repeated, "slice int, n long, rest binary"), name)
+    table, cell_bits = packed_filter(repeated, slice_bits)
+    return table, slice_bits, cell_bits

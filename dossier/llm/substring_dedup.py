@@ -1,4 +1,11 @@
-"""Long repeated spans of words (de Bruijn graph), and what is left without them."""
+"""Long repeated spans of words by a compacted de Bruijn graph, and what is left without them.
+
+Windows of 50 words are the edges of the graph, their overlaps of 49 words its nodes. Windows with one anchor (see
+spans) come to one task, which names their words' runs exactly by doubling, and so nodes and edges; an edge is
+repeated if a text with a larger id has it too, and its source is its first place under its smallest id. There, edges that
+follow each other without a branch are one piece. Pieces that meet in a node without a branch compact into paths
+through joins. A text's places on a path are a long span, which is read again in both texts, at the coordinates of the source.
+"""
 
 from __future__ import annotations
 
@@ -10,52 +17,389 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WordHashes, in_arrow, materialize, only
-from dossier.llm.spans import HOT_SHARE, covered, masks, shared_windows
+from dossier.llm.common import BROADCAST_IDS, WordHashes, in_arrow, materialize, rolling
+from dossier.llm.spans import HELD, Filter, Stretches, anchor_filter, covered, units
+
+WINDOW, ANCHOR = 50, 16
+#: Words of texts that are looked at together; a longer text is cut into parts that overlap by a window less one word.
+PART = 1 << 16
+#: Stretches that come to one task together, as the sample has it.
+RANGE = 20_000
+#: Texts and stretches of a text that the sample has, at most. It decides what is dealt by single windows, nothing else.
+SAMPLE_TEXTS, SAMPLE_OF_TEXT = 2000, 500
+#: Spans of one source text that are read in one row.
+READ_AT_ONCE = 512
+
+
+class Part(Stretches):
+    """The stretches of some texts, and their words."""
+
+    def __init__(self, texts: list[list[bytes]], hashes: WordHashes, window: int, k: int):
+        self.words = [w for t in texts for w in t]
+        self.tokens = hashes.of(self.words)
+        super().__init__(rolling(self.tokens, k), np.array([len(t) for t in texts], np.int64), window, k)
+
+
+def parts(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[tuple[Part, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """See spans.Parts."""
+    hashes, texts, of, size, number = WordHashes(), [], [], 0, 0
+
+    def made():
+        return (Part(texts, hashes, window, k), *(np.array(x, np.int64) for x in zip(*of)))
+
+    for b in batches:
+        for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            words = t.as_py().split()
+            number += 1
+            for lo in range(0, len(words) - window + 1, PART):
+                texts.append(words[lo : lo + PART + window - 1])
+                of.append((number, i, key, lo))
+                size += len(texts[-1])
+                if size >= PART:
+                    yield made()
+                    texts, of, size = [], [], 0
+    if texts:
+        yield made()
+
+
+def _sampled(window: int, k: int, sent):
+    """Anchor and windows' hashes of stretches of a few texts; n: how many there were, in one row of each part."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = Filter(*sent.value)
+        for part, *_ in parts(batches, window, k):
+            keep = np.flatnonzero(there(part.hash))
+            pick = np.concatenate([own[:: -(-len(own) // SAMPLE_OF_TEXT)] for own in np.split(keep, np.flatnonzero(np.diff(part.owner[keep])) + 1) if len(own)] or [keep])
+            whole = rolling(part.tokens, window)
+            rows = [whole[f : f + n].tobytes() for f, n in zip(part.first[pick], part.windows[pick])]
+            yield pa.RecordBatch.from_arrays([pa.array(part.hash[pick].view(np.int64)), pa.array(rows, pa.binary()), pa.array(([len(keep)] + [0] * len(rows))[: len(rows)], pa.int64())], ["anchor", "hashes", "n"])
+
+    return scan
+
+
+class Deal:
+    """Where stretches go: by the hash of their anchor; those of hot anchors window by window, by the window's hash; windows that are hot themselves to any of several tasks."""
+
+    def __init__(self, anchors: np.ndarray, hashes: list[np.ndarray], stretches: int, in_range: int, least: int):
+        self.ranges = max(least, stretches // in_range)
+        scale = max(1.0, stretches / max(1, len(anchors)))
+        most = max(2, stretches / self.ranges / 4 / scale)
+        values, counts = np.unique(anchors, return_counts=True)
+        self.hot = values[counts > most]  # fewer than 4 times the ranges
+        of = [h for a, h in zip(anchors, hashes) if self.is_hot(np.array([a]))[0]]
+        values, counts = np.unique(np.concatenate(of) if of else np.empty(0, np.uint64), return_counts=True)
+        self.runs = values[counts > most]
+
+    def is_hot(self, anchors: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(anchors), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, anchors), len(self.hot) - 1)] == anchors
+
+    def run_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of a hot window, -1 for others."""
+        if not len(self.runs):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.runs, hashes), len(self.runs) - 1)
+        return np.where(self.runs[at] == hashes, at, -1)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes % np.uint64(self.ranges)).astype(np.int64)
+
+
+def _dealt(window: int, k: int, sent, deal):
+    """Stretches that may meet others, packed by range: ids, keys, first windows, numbers of windows, words."""
+    names = ["range", "run", "ids", "keys", "starts", "windows", "blob"]
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        to, run, ids, keys, starts, windows = (np.concatenate([h[j] for h in held]) for j in range(6))
+        said = [x for h in held for x in h[6]]
+        order = np.lexsort((run, to))
+        cut = np.flatnonzero(np.concatenate(([True], (to[order][1:] != to[order][:-1]) | (run[order][1:] != run[order][:-1]))))
+        rows = [(int(to[o[0]]), int(run[o[0]]), ids[o].tobytes(), keys[o].tobytes(), starts[o].tobytes(), windows[o].astype(np.int32).tobytes(), b"\n".join([said[j] for j in o])) for o in np.split(order, cut[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int32() if j < 2 else pa.binary()) for j in range(7)], names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, ranges = Filter(*sent.value), deal.value
+        held, n = [], 0
+        for part, _, ids, keys, lows in parts(batches, window, k):
+            keep = np.flatnonzero(there(part.hash))
+            hot = ranges.is_hot(part.hash[keep])
+            for own, single in ((keep[~hot], False), (keep[hot], True)):
+                if not len(own):
+                    continue
+                first, windows, owner = part.first[own], part.windows[own], part.owner[own]
+                if single:
+                    owner = np.repeat(owner, windows)
+                    first = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+                    windows = np.ones(len(first), np.int64)
+                    h = rolling(part.tokens, window)[first]
+                    run = ranges.run_of(h)
+                    to = np.where(run >= 0, ranges.of(h + ids[owner].view(np.uint64)), ranges.of(h))
+                else:
+                    to, run = ranges.of(part.hash[own]), np.full(len(first), -1)
+                said = [b" ".join(part.words[f : f + m]) for f, m in zip(first.tolist(), (windows + window - 1).tolist())]
+                held.append((to, run, ids[owner], keys[owner], first - part.bases[owner] + lows[owner], windows, said))
+                n += sum(map(len, said))
+            if n >= 8 * HELD:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return scan
+
+
+def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each different pair."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
 
-WORD_WINDOW, WORD_ANCHOR = 50, 16
+def named_runs(words: np.ndarray, length: int) -> np.ndarray:
+    """A number for each different run of `length` words, by doubling: equal numbers for equal runs and no others."""
+    n, done, at, have, step = len(words) - length + 1, None, 0, words, 1
+    while True:
+        if length & step:
+            done = have[at : at + n] if done is None else _named(done, have[at : at + n])
+            at += step
+        step *= 2
+        if step > length:
+            return done
+        have = _named(have[: -(step // 2)], have[step // 2 :])
 
 
-def words() -> object:
-    hashes = WordHashes()
-    return lambda text: hashes.of(text.split())
+#: What a range yields: members (text's place, its source's place, the first edge of the source's piece) and pieces (n edges from a place of their source, nodes at both ends).
+FOUND = "piece boolean, _id long, _key long, start long, n long, src_id long, src_key long, src_start long, at long, left long, right long, run int"
 
 
-def _without_repeats(docs: DataFrame, id_col: str, text_col: str, tokenise, window: int, anchor: int, finish, schema: str) -> DataFrame:
-    thin = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
-    # copies of a smaller document lose everything, and say nothing that it doesn't
-    keys = materialize(thin.where("_id is not null").select("_id", F.sha2("_text", 256).alias("h")), "spans-keys")
-    repeated = keys.groupBy("h").agg(F.min("_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    hot = repeated.where(F.col("n") > F.lit(max(2, keys.count() * HOT_SHARE)))  # fewer than 1 / HOT_SHARE
-    few = keys.join(F.broadcast(hot), "h").where("_id > rep").select("_id")
-    rest = keys.join(F.broadcast(hot.select("h")), "h", "left_anti").join(repeated.select("h", "rep"), "h").where("_id > rep").select("_id")
-    copies = materialize(few.unionByName(rest).distinct(), "spans-copies")
-    texts = only(thin.where("_id is not null"), copies, "_id", "left_anti")
-    found = materialize(shared_windows(texts, tokenise, window, anchor), "spans-found")
-    everything = copies.select("_id", F.array(F.lit(0)).alias("starts"), F.array(F.lit(1 << 30)).alias("ends"))
-    return thin.join(masks(found).unionByName(everything), "_id", "left").select("_id", "_text", "starts", "ends").transform(in_arrow, finish, schema)
+def _node(words: list[bytes]) -> int:
+    """A hash of a node's words, by which pieces find each other; their coordinates decide."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def _batch(piece, cols, run=None) -> pa.RecordBatch:
+    n = len(cols[0])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), *(pa.nulls(n, pa.int64()) if c is None else pa.array(np.asarray(c, np.int64)) for c in cols), pa.nulls(n, pa.int32()) if run is None else pa.array(np.full(n, run, np.int32))], [c.split()[0] for c in FOUND.split(", ")])
+
+
+def _graph(rows: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
+    """Members and pieces of one range."""
+    ids, keys, starts = (np.concatenate([np.frombuffer(r[j], np.int64) for r in rows]) for j in range(3))
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(x, len(number)) for r in rows for x in r[4].split(b"\n")], np.int64)
+    # a stretch's first place: the smallest id, key and start that have it
+    order = np.lexsort((starts, keys, ids))
+    first = np.full(len(number), len(of))
+    np.minimum.at(first, of[order], np.arange(len(of)))
+    first = order[first]
+    last_id = np.full(len(number), np.iinfo(np.int64).min)
+    np.maximum.at(last_id, of, ids)
+    rank = np.empty(len(number), np.int64)
+    rank[np.lexsort((starts[first], keys[first], ids[first]))] = np.arange(len(number))
+    by_rank = np.argsort(rank)
+
+    vocabulary: dict[bytes, int] = {}
+    said = [x.split(b" ") for x in number]
+    length = np.array([len(x) for x in said], np.int64)
+    flat = [w for x in said for w in x]
+    words = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in flat), np.int64, len(flat))
+    node = named_runs(words, window - 1)
+    edge = _named(node[:-1], words[window - 1 :])
+    base = np.cumsum(length) - length
+    windows = length - window + 1
+    upto = np.cumsum(windows) - windows
+    which = np.repeat(np.arange(len(said)), windows)
+    offset = np.arange(windows.sum()) - upto[which]
+    at = base[which] + offset
+    edge, enters, leaves = edge[at], node[at], node[at + 1]
+    # the source of an edge: its first place under its smallest id
+    names, edge = np.unique(edge, return_inverse=True)
+    source = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(source, edge, (rank[which] << 20) | offset)
+    largest = np.full(len(names), np.iinfo(np.int64).min)
+    np.maximum.at(largest, edge, last_id[which])
+    src, src_offset = by_rank[source >> 20], source & ((1 << 20) - 1)
+    repeated = largest > ids[first[src]]
+
+    # pieces: places of their source that follow each other, without a branch at the node between
+    own = np.flatnonzero(repeated[edge] & (src[edge] == which) & (src_offset[edge] == offset))
+    if not len(own):
+        return
+    _, node_no = np.unique(np.concatenate((enters[own], leaves[own])), return_inverse=True)
+    enters, leaves = node_no[: len(own)], node_no[len(own) :]
+    out, into = np.bincount(enters, minlength=node_no.max() + 1), np.bincount(leaves, minlength=node_no.max() + 1)
+    goes_on = (which[own][1:] == which[own][:-1]) & (offset[own][1:] == offset[own][:-1] + 1) & (out[enters[1:]] == 1) & (into[enters[1:]] == 1)
+    begins = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    count = np.diff(np.append(begins, len(own)))
+    k, o = which[own[begins]], offset[own[begins]]
+    place = starts[first[k]] + o
+    ends = [(_node(flat[b : b + window - 1]), _node(flat[b + m : b + m + window - 1])) for b, m in zip((base[k] + o).tolist(), count.tolist())]
+    yield _batch(True, [ids[first[k]], keys[first[k]], place, count, None, None, None, None, [e[0] for e in ends], [e[1] for e in ends]])
+    piece_of = np.full(len(names), -1)
+    piece_of[edge[own]] = np.repeat(np.arange(len(begins)), count)
+
+    # members: every place of a repeated edge under a larger id than its source's
+    take = np.repeat(np.arange(len(of)), windows[of])
+    w = upto[of[take]] + np.arange(len(take)) - np.repeat(np.cumsum(windows[of]) - windows[of], windows[of])
+    e = edge[w]
+    hit = repeated[e] & (ids[first[src[e]]] < ids[take])
+    take, w, e = take[hit], w[hit], e[hit]
+    if not len(take):
+        return
+    there = starts[first[src[e]]] + src_offset[e]
+    new = np.concatenate(([True], (take[1:] != take[:-1]) | (w[1:] != w[:-1] + 1) | (piece_of[e][1:] != piece_of[e][:-1]) | (there[1:] != there[:-1] + 1)))
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(take)))
+    t, x, e, there = take[begin], w[begin], e[begin], there[begin]
+    yield _batch(False, [ids[t], keys[t], starts[t] + offset[x], n, ids[first[src[e]]], keys[first[src[e]]], there, place[piece_of[e]], None, None])
+
+
+def _settle(window: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by range; hot windows leave as they are, with their number and nodes."""
+        now, held = None, []
+        for b in batches:
+            for to, run, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if run >= 0:
+                    ids, keys, starts = (np.frombuffer(x, np.int64) for x in row[:3])
+                    words = row[4].split(b"\n", 1)[0].split(b" ")
+                    none = np.zeros(len(ids), np.int64)
+                    yield _batch(False, [ids, keys, starts, none + 1, None, None, None, None, none + _node(words[:-1]), none + _node(words[1:])], run)
+                    continue
+                if to != now and held:
+                    yield from _graph(held, window)
+                    held = []
+                now = to
+                held.append(row)
+        if held:
+            yield from _graph(held, window)
+
+    return scan
+
+
+def _paths(pieces: DataFrame) -> DataFrame:
+    """_id, _key, start, head: the first piece of each piece's path, by pointer doubling. pieces: _id, _key, start, n, left, right."""
+    one = lambda side: pieces.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("k")).where("k = 1").select("node")
+    simple = one("left").join(one("right"), "node")
+    before = pieces.select("_id", "_key", F.col("start").alias("before"), (F.col("start") + F.col("n")).alias("start"), F.col("right").alias("node"))
+    links = before.join(simple, "node").join(pieces.select("_id", "_key", "start", F.col("left").alias("node")), ["_id", "_key", "start", "node"]).select("_id", "_key", "start", "before")
+    at = materialize(pieces.select("_id", "_key", "start").join(links, ["_id", "_key", "start"], "left").select("_id", "_key", "start", F.coalesce("before", "start").alias("head")), "paths")
+    for _ in range(64):
+        far = at.select("_id", "_key", F.col("start").alias("head"), F.col("head").alias("farther")).where("head <> farther")
+        next_ = at.join(far, ["_id", "_key", "head"], "left").select("_id", "_key", "start", F.coalesce("farther", "head").alias("head"), F.col("farther").isNotNull().alias("moved"))
+        next_ = materialize(next_, "paths")
+        at = next_.drop("moved")
+        if next_.where("moved").isEmpty():
+            return at
+    raise RuntimeError("paths did not end")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long spans of each text (_id, _key, places): places that follow each other on one path, on both sides."""
+    for b in batches:
+        out = []
+        for i, key, places in zip(*(c.to_pylist() for c in b.columns)):
+            last = None
+            for p in sorted(places, key=lambda p: (p["start"], p["n"])):
+                of = (p["src_id"], p["src_key"], p["head"], p["start"] - p["src_start"])
+                if last is not None and last[0] == of and last[1] + last[2] == p["start"]:
+                    last[2] += p["n"]
+                    continue
+                if last is not None:
+                    out.append((i, key, last[1], last[2], *last[0][:2], last[1] - last[0][3]))
+                last = [of, p["start"], p["n"]]
+            out.append((i, key, last[1], last[2], *last[0][:2], last[1] - last[0][3]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(7)], ["_id", "_key", "start", "n", "src_id", "src_key", "src_start"])
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, in_range: int = RANGE) -> DataFrame:
+    """_id, _key, start, n, said: n windows from a place of a text that all start in its source too, a text with a smaller id; said is a digest of the source's words there.
+
+    texts: _id, _key, _text, different rows different texts.
+    """
+    spark = texts.sparkSession
+    total, least = texts.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = spark.sparkContext.broadcast(anchor_filter(texts, lambda batches: parts(batches, window, k), "spans-repeated"))
+    of = max(1, total // SAMPLE_TEXTS)
+    sample = texts.where(F.pmod(F.xxhash64("_id", "_key"), F.lit(of)) == 0).transform(in_arrow, _sampled(window, k, sent), "anchor long, hashes binary, n long").toArrow()
+    anchors = np.array(sample.column(0).to_pylist(), np.int64).view(np.uint64)
+    deal = Deal(anchors, [np.frombuffer(x, np.uint64) for x in sample.column(1).to_pylist()], sum(sample.column(2).to_pylist()) * of, in_range, least)
+    sent_deal = spark.sparkContext.broadcast(deal)
+
+    tasks = min(deal.ranges, 4 * least)
+    dealt = texts.transform(in_arrow, _dealt(window, k, sent, sent_deal), "range int, run int, ids binary, keys binary, starts binary, windows binary, blob binary")
+    found = materialize(dealt.repartitionById(tasks, F.pmod("range", F.lit(tasks))).sortWithinPartitions("range", "run").transform(in_arrow, _settle(window), FOUND), "spans-found")
+    members = found.where("not piece and run is null").select("_id", "_key", "start", "n", "src_id", "src_key", "src_start", "at")
+    pieces = found.where("piece").select("_id", "_key", "start", "n", "left", "right")
+    if len(deal.runs):
+        hot = found.where("run is not null")
+        source = hot.groupBy("run").agg(F.min(F.struct("_id", "_key", "start")).alias("s"), F.max("_id").alias("last"), F.first("left").alias("left"), F.first("right").alias("right")).where("last > s._id")  # a row for each hot window
+        source = materialize(source, "spans-hot")
+        pieces = pieces.unionByName(source.select("s._id", "s._key", "s.start", F.lit(1).cast("long").alias("n"), "left", "right"))
+        also = hot.select("_id", "_key", "start", "n", "run").join(F.broadcast(source.select("run", "s")), "run").where("_id > s._id")
+        members = members.unionByName(also.select("_id", "_key", "start", "n", F.col("s._id").alias("src_id"), F.col("s._key").alias("src_key"), F.col("s.start").alias("src_start"), F.col("s.start").alias("at")))
+    heads = materialize(_paths(materialize(pieces, "spans-pieces")), "spans-heads")
+    heads = heads.select(F.col("_id").alias("src_id"), F.col("_key").alias("src_key"), F.col("start").alias("at"), "head")
+    placed = members.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads, ["src_id", "src_key", "at"])
+    lists = placed.groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n", "src_id", "src_key", "src_start", "head")).alias("places"))  # a text bounds its places
+    spans = materialize(lists.transform(in_arrow, _merged, "_id long, _key long, start long, n long, src_id long, src_key long, src_start long"), "spans-long")
+
+    # each source is read where spans refer to it, so many of its spans in a row
+    asked = spans.select(F.col("src_id").alias("_id"), F.col("src_key").alias("_key"), F.col("src_start").alias("start"), "n").distinct()
+    counts = asked.groupBy("_id", "_key").agg(F.ceil(F.count("*") / READ_AT_ONCE).alias("rows"))
+    asked = asked.join(counts, ["_id", "_key"]).withColumn("row", F.pmod(F.xxhash64("start", "n"), "rows"))
+    asked = materialize(asked.groupBy("_id", "_key", "row").agg(F.collect_list(F.struct("start", "n")).alias("asked")), "spans-asked")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, key, places, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                words = t.as_py().split()
+                out += [(i, key, p["start"], p["n"], _digest(words[p["start"] : p["start"] + p["n"] + window - 1])) for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64() if j < 4 else pa.binary()) for j in range(5)], ["src_id", "src_key", "src_start", "n", "said"])
+
+    said = asked.join(texts, ["_id", "_key"]).select("_id", "_key", "asked", "_text").transform(in_arrow, read, "src_id long, src_key long, src_start long, n long, said binary")
+    return spans.join(said, ["src_id", "src_key", "src_start", "n"]).select("_id", "_key", "start", "n", "said")
 
 
-def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORD_WINDOW) -> DataFrame:
+def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, in_range: int = RANGE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs.
 
     Removes each word covered by a run of `window` words that also starts in a document with a smaller id.
-    Null texts have no words; a null id neither gives nor loses words; rows that share an id are judged together against smaller ids.
+    Null texts have no words; texts of fewer than `window` words lose none; a null id neither gives nor loses words. Rows
+    that share an id are texts of their own, which take nothing from each other; repeated rows get the same answer. Texts of any
+    length are read whole. Other columns are ignored; an empty table gives an empty result. A span whose words are not
+    those of its source raises (two different runs of words with one 64-bit hash, under a window that is in very many texts).
     """
+    thin, texts, copies = units(docs, id_col, text_col)
+    found = materialize(repeated_spans(texts, window, min(ANCHOR, max(1, window // 2)), in_range), "spans-said")
+    masks = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("start", "n", "said")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, sha = [], [], []
-            for t, s, e in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for i, t, spans, copy in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 w = t.as_py().split()
-                mask = covered(len(w), s, e, window) if s and len(w) >= window else np.zeros(len(w), bool)
-                kept = [w[j] for j in np.flatnonzero(~mask)] if s else w
+                mask = np.zeros(len(w), bool)
+                if copy and len(w) >= window:
+                    mask[:] = True
+                elif not copy and spans:
+                    for p in spans:
+                        if _digest(w[p["start"] : p["start"] + p["n"] + window - 1]) != p["said"]:
+                            raise ValueError(f"a span of document {i} differs from its source")
+                    mask = covered(len(w), [p["start"] for p in spans], [p["start"] + p["n"] for p in spans], window)
                 n.append(len(w))
                 gone.append(int(mask.sum()))
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                sha.append(hashlib.sha256(b" ".join([w[j] for j in np.flatnonzero(~mask)] if gone[-1] else w)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _without_repeats(docs, id_col, text_col, words, window, min(WORD_ANCHOR, max(1, window // 2)), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = copies(thin).join(masks, ["_id", "_key"], "left").select("_id", "_text", "spans", "copy")
+    return rows.transform(in_arrow, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Long repeated spans of bytes by a sparse suffix array.
 
-A window of W bytes holds W - K + 1 runs of K bytes; the one with the least hash (leftmost among equals) is its
-anchor, so equal windows have equal anchors at equal offsets. Only suffixes that start at anchors go through the
+Windows have anchors, at equal offsets where they are equal (see spans). Only suffixes that start at anchors go through the
 shuffle: each brings the stretch of neighbouring windows that it anchors, their shared bytes once. Sampled splitters
 over the leading bytes deal the suffixes out in ranges; a range's owner sorts by multikey quicksort and compares
 neighbours byte by byte. Where one anchor fills several ranges, its windows are suffixes of their own, dealt by all
@@ -19,19 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import in_arrow, materialize, mix, sliding_min
-from dossier.llm.spans import covered, runs_of, units
+from dossier.llm.common import in_arrow, materialize, mix
+from dossier.llm.spans import HELD, Filter, Stretches, anchor_filter, covered, runs_of, units
 
 WINDOW, ANCHOR = 50, 24
 #: Bytes of texts that are looked at together; a longer text is cut into parts that overlap by a window less one byte.
 PART = 1 << 19
-#: Suffixes of a range, as the sample has it; anchors that are held before they are sent.
-RANGE, HELD = 150_000, 1 << 20
+#: Suffixes of a range, as the sample has it.
+RANGE = 150_000
 #: Texts and suffixes of a text that splitters are drawn from, at most. They decide how even ranges are, nothing else.
 SAMPLE_TEXTS, SAMPLE_OF_TEXT = 2000, 500
-#: Bits of the filter of repeated anchors for each of them, and at most: beyond, it lets more suffixes through.
-FILTER_BITS, FILTER_MOST = 12, 1 << 30
-_PLACE_BITS = np.uint64(24)
 _MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
@@ -55,32 +51,17 @@ def strings(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.ndarray((max(0, len(data) - length + 1),), f"S{length}", data, strides=(1,))[at]
 
 
-class Part:
-    """The stretches of windows of some texts: first window, number of windows, place and hash of the anchor, owner (number of the text)."""
+class Part(Stretches):
+    """The stretches of some texts, and their bytes."""
 
     def __init__(self, texts: list[bytes], window: int, k: int):
         lengths = np.array([len(t) for t in texts], np.int64)
         self.data = np.frombuffer(b"".join([*texts, bytes(64)]), np.uint8)
-        n = int(lengths.sum())
-        ends = np.cumsum(lengths)
-        self.bases = ends - lengths
         words = eights(self.data)
-        h = np.zeros(n - k + 1, np.uint64)
+        h = np.zeros(int(lengths.sum()) - k + 1, np.uint64)
         for d, c in zip(depths(k), _MIXERS):
             h += eight_at(words, slice(d, d + len(h)), k) * np.uint64(c)
-        h = mix(h)
-        keyed = ((h >> _PLACE_BITS) << _PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
-        at = (sliding_min(keyed, window - k + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        whole = np.ones(len(at) + window, bool)
-        whole[(ends[:, None] - np.arange(1, window)).ravel()] = False
-        whole = whole[: len(at)]
-        new = np.concatenate(([True], at[1:] != at[:-1]))
-        self.first = np.flatnonzero(whole & (new | ~np.concatenate(([False], whole[:-1]))))
-        last = np.flatnonzero(whole & np.concatenate((new[1:] | ~whole[1:], [True])))
-        self.windows = last - self.first + 1
-        self.place = at[self.first]
-        self.hash = h[self.place]
-        self.owner = np.searchsorted(self.bases, self.first, "right") - 1
+        super().__init__(mix(h), lengths, window, k)
 
     def bytes_of(self, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return self.data[np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
@@ -108,80 +89,6 @@ def parts(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[tu
         yield made()
 
 
-def _anchors(window: int, k: int, slice_bits: int):
-    """Different anchors of each slice of their hashes, as 32 bits each, and whether two texts of this task have them."""
-
-    def packed(h: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(h)
-        h, text = h[order], text[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        twice = np.minimum.reduceat(text, starts) != np.maximum.reduceat(text, starts)
-        h = h[starts]
-        rest = ((h >> np.uint64(32 - slice_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        cuts = np.searchsorted(h >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1).astype(np.uint64))
-        of = [(s, a, z) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if a < z]
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in of], pa.int32()), pa.array([rest[a:z].tobytes() for _, a, z in of], pa.binary()), pa.array([np.packbits(twice[a:z]).tobytes() for _, a, z in of], pa.binary())], ["slice", "rest", "twice"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts, n = [], [], 0
-        for part, number, *_ in parts(batches, window, k):
-            held.append(part.hash)
-            texts.append(number[part.owner])
-            n += len(part.hash)
-            if n >= HELD:
-                yield packed(np.concatenate(held), np.concatenate(texts))
-                held, texts, n = [], [], 0
-        if n:
-            yield packed(np.concatenate(held), np.concatenate(texts))
-
-    return scan
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice, the anchors that two texts have."""
-    held: dict[int, list] = {}
-    for b in batches:
-        for s, rest, twice in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            x = np.frombuffer(rest, np.uint32)
-            held.setdefault(s, []).append((x, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(x)).astype(bool)))
-    for s, got in held.items():
-        x, twice = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        order = np.argsort(x)
-        x, twice = x[order], twice[order]
-        again = np.concatenate(([False], x[1:] == x[:-1]))
-        x = np.unique(x[twice | again])
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["slice", "n", "rest"])
-
-
-class Filter:
-    """Whether an anchor may be a repeated one."""
-
-    def __init__(self, table: bytes, slice_bits: int, cell_bits: int):
-        self.table, self.shift = np.frombuffer(table, np.uint8), np.uint64(64 - slice_bits - cell_bits)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        cell = h >> self.shift
-        return ((self.table[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
-
-
-def packed_filter(repeated: DataFrame, slice_bits: int) -> tuple[bytes, int]:
-    """(a bit for each cell of each slice, bits of a cell's number within its slice)."""
-    count = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cell_bits = min(max(3, (count * FILTER_BITS >> slice_bits).bit_length()), FILTER_MOST.bit_length() - 1 - slice_bits, 32)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                there = np.zeros(1 << cell_bits, bool)
-                there[np.frombuffer(rest, np.uint32) >> np.uint32(32 - cell_bits)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(there).tobytes()], pa.binary())], ["slice", "bits"])
-
-    table = np.zeros((1 << slice_bits, 1 << cell_bits >> 3), np.uint8)
-    for s, bits in repeated.select("slice", "rest").mapInArrow(mark, "slice int, bits binary").collect():  # FILTER_MOST bits in all
-        table[s] = np.frombuffer(bytes(bits), np.uint8)
-    return table.tobytes(), cell_bits
-
-
 class Splitters:
     """Ranges of suffixes. cold: leading bytes at which a range ends; hot: those that fill more than one, whose windows have ranges of their own, which end at `windows` and `ids`."""
 
@@ -385,14 +292,8 @@ def _settle(window: int):
 def shared_suffixes(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, in_range: int = RANGE) -> DataFrame:
     """_id, _key, span: windows of each text that also start in one with a smaller id; see _settled. texts: _id, _key, _text, different rows different texts."""
     spark = texts.sparkSession
-    total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a slice of the anchors' hashes goes to one task: a few million of them
-    slice_bits = max(4, (size >> 25).bit_length(), least.bit_length() - 1)
-    met = texts.transform(in_arrow, _anchors(window, k, slice_bits), "slice int, rest binary, twice binary")
-    repeated = materialize(met.repartitionById(min(1 << slice_bits, 4 * least), F.pmod("slice", F.lit(min(1 << slice_bits, 4 * least)))).transform(in_arrow, _repeated, "slice int, n long, rest binary"), "suffix-repeated")
-    table, cell_bits = packed_filter(repeated, slice_bits)
-    sent = spark.sparkContext.broadcast((table, slice_bits, cell_bits))
+    total, least = texts.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = spark.sparkContext.broadcast(anchor_filter(texts, lambda batches: parts(batches, window, k), "suffix-repeated"))
 
     of = max(1, total // SAMPLE_TEXTS)
     sample = texts.where(F.pmod(F.xxhash64("_id", "_key"), F.lit(of)) == 0).transform(in_arrow, _sampled(window, k, sent), "stretch binary, at int, id long, n long").toArrow()

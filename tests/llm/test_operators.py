@@ -121,29 +121,6 @@ def test_join_signatures_never_miss():
         assert x & y
 
 
-def brute_windows(tokens, window):
-    first, gone = {}, {}
-    for i in sorted(tokens):
-        t = tokens[i]
-        mask = [False] * len(t)
-        for j in range(len(t) - window + 1):
-            if first.setdefault(tuple(t[j : j + window]), i) < i:
-                mask[j : j + window] = [True] * window
-        gone[i] = mask
-    return gone
-
-
-def test_substring_dedup_words(spark):
-    rows = corpus()
-    gone = brute_windows({i: words(t) for i, t in rows}, 50)
-    got = {r.doc_id: r for r in substring_dedup.dedup_words(table(spark, rows)).collect()}
-    assert sum(map(sum, gone.values())) > 100
-    for i, t in rows:
-        w = words(t)
-        kept = " ".join(x for x, g in zip(w, gone[i]) if not g)
-        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone[i]), hashlib.sha256(kept.encode()).hexdigest())
-
-
 def brute_rows(rows, window):
     """Masks row by row: rows under one id take nothing from each other, rows without id neither give nor lose."""
     first = {}
@@ -169,6 +146,36 @@ def skewed(seed=3):
     return rows + [(1, rows[30][1]), (2000, "x" * 200), (2000, "x" * 200), (2001, passage), (None, passage), (5, "x" * 300 + "y"), (6, None)]
 
 
+@pytest.mark.parametrize("in_range", [20_000, 3])
+def test_substring_dedup(spark, in_range):
+    rows = skewed()
+    raw = [(i, words(t)) for i, t in rows]
+    want = [(str(i), len(w), sum(m), hashlib.sha256(" ".join(x for x, g in zip(w, m) if not g).encode()).hexdigest()) for (i, w), m in zip(raw, brute_rows(raw, 50))]
+    got = substring_dedup.dedup_words(table(spark, rows).repartition(5), in_range=in_range).collect()
+    assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
+    assert sum(w[2] for w in want) > 1000
+    assert substring_dedup.dedup_words(table(spark, [])).count() == 0
+
+
+def test_paths_of_pieces(spark):
+    """Pieces follow each other to one head; a branch, another source or a gap begins a new path."""
+    pieces = [(1, 0, 10 * k, 10, k, k + 1) for k in range(20)] + [(1, 0, 200, 5, 99, 100), (2, 0, 0, 3, 20, 21), (3, 0, 0, 4, 5, 50)]
+    got = {(r._id, r.start): r.head for r in substring_dedup._paths(spark.createDataFrame(pieces, "_id long, _key long, start long, n long, left long, right long")).collect()}
+    # node 5 has two ways on, so the path that begins at 0 ends there
+    assert got == {**{(1, 10 * k): 0 if k < 5 else 50 for k in range(20)}, (1, 200): 200, (2, 0): 0, (3, 0): 0}
+
+
+def test_named_runs_are_exact():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.integers(0, 2, 400)
+    for n in (1, 2, 7, 12):
+        named = substring_dedup.named_runs(x, n)
+        runs = [tuple(x[j : j + n]) for j in range(len(x) - n + 1)]
+        assert len(named) == len(runs) and len(set(zip(named.tolist(), runs))) == len(set(runs)) == len(set(named.tolist()))
+
+
 @pytest.mark.parametrize("in_range", [150_000, 30])
 def test_suffix_dedup(spark, in_range):
     rows = skewed()
