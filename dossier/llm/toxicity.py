@@ -32,7 +32,6 @@ BEGINNINGS = (4, 5, 6)
 #: What a character may stand for, and the cost of each disguise in nats.
 DISGUISES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "€": "e", "(": "c"}
 LEET_COST, DROP_COST, REPEAT_COST, BREAK_COST, UNKNOWN_COST = 1.0, 0.7, 0.7, 4.0, 9.0
-BEAM = 48
 #: Symbols of the language model: 0 between words, 1-26 letters, 27 any other letter, 28 anything else; order 4.
 _BITS, _ORDER = 5, 4
 _SEPARATORS = ".-_*~'` "
@@ -124,24 +123,33 @@ class Restorer:
         return out + [("\x01", UNKNOWN_COST)]
 
     def restore(self, token: str) -> str:
-        """The likeliest plain words of a folded token, one space between."""
+        """The likeliest plain words of a folded token, one space between: the best path through the whole lattice."""
+        return self.best(token)[1].replace("\x01", "")
+
+    def best(self, token: str) -> tuple[float, str]:
+        """(score, text) of the best path. A state is the last three symbols; a path is linked to the one that it prolongs."""
         spaced = " " in token
-        paths: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+        paths: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
         for m in re.finditer(r"(.)\1*", token, re.S):
-            grown: dict[tuple[int, int, int], tuple[float, str]] = {}
+            grown: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
             for said, cost in self._options(m[1], len(m[0]), spaced):
-                for state, (score, text) in paths.items():
+                symbols = [0 if ch == " " else 28 if ch == "\x01" else ord(ch) - 96 for ch in said]
+                for state, (score, path) in paths.items():
                     s = score - cost
-                    for ch in said:
-                        x = 0 if ch == " " else 28 if ch == "\x01" else ord(ch) - 96
-                        a, b, c = state
+                    a, b, c = state
+                    for x in symbols:
                         s += self.model[a][b][c][x] + 1.0  # a symbol less must not win by its length alone
-                        state = (b, c, x)
+                        a, b, c = b, c, x
+                    state = (a, b, c)
                     if state not in grown or s > grown[state][0]:
-                        grown[state] = (s, text + said)
-            paths = dict(sorted(grown.items(), key=lambda x: -x[1][0])[:BEAM]) if len(grown) > BEAM else grown
-        best = max(((s + self.model[a][b][c][0], text) for (a, b, c), (s, text) in paths.items()), default=(0, ""))
-        return best[1].replace("\x01", "")
+                        grown[state] = (s, (path, said))
+            paths = grown
+        score, path = max(((s + self.model[a][b][c][0], p) for (a, b, c), (s, p) in paths.items()), key=lambda x: x[0])
+        out = []
+        while path is not None:
+            path, said = path
+            out.append(said)
+        return score, "".join(reversed(out))
 
 
 #: What may be cut off the ends of a token: for the word as written, and before decoding, where disguises stay.
@@ -181,12 +189,7 @@ class Reader:
         return tuple(dict.fromkeys(out))
 
     def _decoded(self, core: str) -> list[str]:
-        out: list[str] = []
-        if len(core) >= 3 and re.search(rf"[a-z{_STAND}]", core):
-            # each part that is too long for a word is a sequence of characters, taken in pieces that overlap
-            for lo in range(0, len(core), 48):
-                out += self.restorer.restore(core[lo : lo + 64]).split()
-        return out
+        return self.restorer.restore(core).split() if len(core) >= 3 and re.search(rf"[a-z{_STAND}]", core) else []
 
     def read(self, text: str) -> list[tuple[str, ...]]:
         tokens = text.split()
@@ -215,8 +218,7 @@ class Reader:
             edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
             for a, b in zip(edges[::2], edges[1::2]):
                 if b - a >= _SINGLE_RUN and len(set(chars[a:b])) > 1:
-                    run = " ".join(chars[a:b])
-                    out += [tuple(self.restorer.restore(fold(run[lo : lo + 128])).split()) for lo in range(0, len(run), 96)]
+                    out.append(tuple(self.restorer.restore(fold(" ".join(chars[a:b]))).split()))
         return out
 
 
