@@ -107,7 +107,7 @@ def document_rows(metadata: DataFrame) -> DataFrame:
 def fact_rows(facts: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts as stored: defaults, texts cut, the document's sector where a fact has none. Facts of unknown documents are left out.
 
-    An id is made of what the fact says, so that a fact that is pushed again is the same row.
+    An id is made of what the fact says, so that a fact that is pushed again is the same row; the most confident one stays.
     """
     d = documents.select("doc_id", F.col("sector").alias("_sector"))
     text = lambda c, other="": F.coalesce(c, F.lit(other)).alias(c)
@@ -115,7 +115,8 @@ def fact_rows(facts: DataFrame, documents: DataFrame) -> DataFrame:
         "doc_id", text("fact_type", "parameter"), text("subject"), text("attribute"), text("value"), text("unit"), F.substring(F.coalesce("context", F.lit("")), 1, fixed.CONTEXT).alias("context"),
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.coalesce("source_page", F.lit(0)).alias("source_page"), F.coalesce(F.nullif(_text("sector"), F.lit("")), "_sector").alias("sector"),
     )
-    return rows.withColumn("fact_id", E.key_of("f_", "doc_id", "fact_type", "subject", "attribute", "value", "unit", "context", F.col("source_page").cast("string"))).dropDuplicates(["fact_id"])
+    key = E.key_of("f_", "doc_id", "fact_type", "subject", "attribute", "value", "unit", "context", F.col("source_page").cast("string"))
+    return rows.groupBy(key.alias("fact_id")).agg(F.max_by(F.struct(*rows.columns), "confidence").alias("_f")).select("fact_id", "_f.*")
 
 
 def sector_edges(rows: DataFrame, id_col: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,20 +19,39 @@ def _strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_SPACES))
 
 
+#: Words one of which a text must hold, in small letters, for a pattern to be found in it. Looking for them costs a fraction of the pattern.
+_NEEDS = dict(zip((*fixed.TABLE_PATTERNS, *fixed.IMAGE_PATTERNS, *fixed.ENGINEERING_PATTERNS), (
+    ("|",), ("\t",), ("sr",), ("no",), (".", ")"), ("|", ":"), ("sl",), ("description",),
+    ("fig",), ("drawing", "plan", "section", "elevation", "layout"), ("plate",), ("scale", "n.t.s."), ("legend",),
+    ("m", "k", "rpm"), ("design", "proposed", "existing", "required", "minimum", "maximum"), ("grade", "class", "type", "category"), ("irc", "is", "rdso", "dmrc", "mmrda"),
+    ("bearing capacity", "shear strength", "compressive strength", "tensile"), ("viaduct", "tunnel", "station", "depot", "alignment", "corridor", "platform"),
+)))
+
+
+def _guarded_hits(text: Column, low: Column, patterns: Iterable[str]) -> Column:
+    """E.hits(text, patterns), each pattern searched for only where its words are; low is text in small letters."""
+    out = F.lit(0)
+    for p in patterns:
+        there = reduce(lambda a, b: a | b, [low.contains(w) for w in _NEEDS[p]])
+        out = out + F.when(there, text.rlike(p).cast("int")).otherwise(0)
+    return out
+
+
 def classify_pages(pages: DataFrame) -> DataFrame:
     """page_num, category, table_score, image_score: one chain of rules, first match decides."""
     text = F.coalesce("text", F.lit(""))
-    p = pages.withColumn("_t", text).withColumn("_n", F.length(_strip(F.col("_t"))))
+    p = pages.withColumn("_t", text).withColumn("_n", F.length(_strip(F.col("_t")))).withColumn("_low", F.lower("_t"))
     p = p.withColumn("_lines", F.filter(F.transform(F.split("_t", "\n"), _strip), lambda x: x != ""))
-    toc = F.coalesce(F.try_divide(F.size(F.filter("_lines", lambda x: x.rlike(fixed.TOC_LINE))), F.size("_lines")), F.lit(0.0))
+    # a line of a table of contents ends in a digit
+    toc = F.coalesce(F.try_divide(F.size(F.filter("_lines", lambda x: F.substring(x, -1, 1).between("0", "9") & x.rlike(fixed.TOC_LINE))), F.size("_lines")), F.lit(0.0))
     r, t = F.col("rect_count"), F.col("_t")
-    table = F.least(F.lit(1.0), F.when(r > 50, 0.5).when(r > 20, 0.35).when(r > 6, 0.2).otherwise(0.0) + F.when(F.col("has_grid_lines"), 0.3).otherwise(0.0) + F.least(F.lit(0.3), E.hits(t, fixed.TABLE_PATTERNS) * 0.08))
+    table = F.least(F.lit(1.0), F.when(r > 50, 0.5).when(r > 20, 0.35).when(r > 6, 0.2).otherwise(0.0) + F.when(F.col("has_grid_lines"), 0.3).otherwise(0.0) + F.least(F.lit(0.3), _guarded_hits(t, F.col("_low"), fixed.TABLE_PATTERNS) * 0.08))
     images = F.col("image_count")
-    image = F.least(F.lit(1.0), F.least(F.lit(0.5), images * 0.2) + F.when((F.col("_n") < 100) & (images > 0), 0.4).otherwise(0.0) + F.least(F.lit(0.2), E.hits(t, fixed.IMAGE_PATTERNS) * 0.1))
+    image = F.least(F.lit(1.0), F.least(F.lit(0.5), images * 0.2) + F.when((F.col("_n") < 100) & (images > 0), 0.4).otherwise(0.0) + F.least(F.lit(0.2), _guarded_hits(t, F.col("_low"), fixed.IMAGE_PATTERNS) * 0.1))
     # Patterns that only decide about short or table-like pages are not searched for in others.
     short = lambda limit, patterns: F.when(F.col("_n") < limit, E.hits(t, patterns)).otherwise(0)
     p = p.withColumns({"table_score": table, "image_score": image, "_toc": toc, "_h": short(200, fixed.HEADER_PATTERNS), "_a": short(500, fixed.ADMIN_PATTERNS)})
-    p = p.withColumn("_e", F.when(F.col("table_score") > 0.3, E.hits(t, fixed.ENGINEERING_PATTERNS) / len(fixed.ENGINEERING_PATTERNS)).otherwise(0.0))
+    p = p.withColumn("_e", F.when(F.col("table_score") > 0.3, _guarded_hits(t, F.col("_low"), fixed.ENGINEERING_PATTERNS) / len(fixed.ENGINEERING_PATTERNS)).otherwise(0.0))
     n, e, ts = F.col("_n"), F.col("_e"), F.col("table_score")
     category = (
         F.when(n < 30, "SKIP").when(F.col("_toc") > 0.5, "SKIP").when((F.col("_h") > 0) & (n < 200), "SKIP").when((F.col("_a") >= 2) & (n < 500), "SKIP")
