@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vocabulary file of the public_tokenizers package; a .json of the tokenizers library that drops white space between words.
+#: Vocabulary file of the public_tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes that go to the encoder in one batch.
 BATCH_BYTES = 1 << 20
@@ -24,21 +24,35 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Texts that tell whether white space between words counts for nothing.
+_WORDS = ("a", "B2", "don't", "...", "é", "x_y", "日本", "-")
+
+
 class Counter:
-    """Token counts of texts under a vocabulary that drops white space between words.
+    """Token counts of texts under a vocabulary file: .model of sentencepiece, others of the tokenizers library.
 
-    White space is then a safe boundary: no token, no special string and no normalisation reaches
-    across it. A text is split there, words that were met before are looked up, and new ones go to the
-    encoder in batches of about as many bytes. A run without white space stays whole however long it is.
+    Where the vocabulary drops white space between words, white space is a safe boundary: no token, no special string
+    and no normalisation reaches across it. A text is split there, words that were met before are looked up, and new ones go to the
+    encoder in batches of about as many bytes. A run without white space stays whole however long it is. Under any other vocabulary texts
+    are encoded whole.
     """
 
     def __init__(self, path: str, batch_bytes: int = BATCH_BYTES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         self.batch_bytes, self.known = batch_bytes, {}
+        if path.endswith(".model"):
+            import sentencepiece
+
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.lengths, special = lambda batch: list(map(len, pieces.encode(batch))), {}
+        else:
+            from tokenizers import Tokenizer
+
+            made = Tokenizer.from_file(path)
+            made.no_truncation()
+            made.no_padding()
+            self.lengths, special = lambda batch: [len(e) for e in made.encode_batch_fast(batch, add_special_tokens=False)], made.get_added_tokens_decoder()
+        alone = any(t.lstrip or t.rstrip or t.single_word or len(t.content.split()) != 1 for t in special.values())
+        self.whole = alone or self.lengths([f" \n{x}\t \x0b\x0c{y}  " for x in _WORDS for y in _WORDS]) != [a + b for a in self.lengths(list(_WORDS)) for b in self.lengths(list(_WORDS))]
 
     def encode(self, words: list[bytes]) -> list[int]:
         out: list[int] = []
@@ -46,7 +60,7 @@ class Counter:
         held = 0
         for w in [*words, None]:
             if batch and (w is None or held + len(w) > self.batch_bytes):
-                out += [len(e) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+                out += self.lengths(batch)
                 batch, held = [], 0
             if w is not None:
                 batch.append(w.decode())
@@ -54,6 +68,8 @@ class Counter:
         return out
 
     def count(self, texts: list[bytes]) -> list[int]:
+        if self.whole:
+            return self.encode(texts)
         split = [t.split() for t in texts]  # bytes split at \x20 and \x09-\x0D
         known = self.known
         if len(known) > REMEMBERED:
@@ -70,8 +86,8 @@ class Counter:
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
-    A null text counts as empty: 0 bytes and tokens. Other columns are ignored, repeated rows each get
-    their row, and an empty table gives an empty result.
+    A null text counts as empty: 0 bytes and tokens. Texts of any length are counted whole. Other columns are ignored, repeated rows each get
+    their row, and an empty table gives an empty result. path: any vocabulary file of the two libraries that Counter knows.
     """
     path = path or vocabulary_path()
 

@@ -75,6 +75,22 @@ def test_decontamination_recall_by_edits(words_of_item):
         assert len(hit) >= 36 and sum(k in near[k] for k in hit) >= 0.9 * len(hit), percent
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_any_vocabulary(name):
+    path = token_counts.vocabulary_path(name)
+    texts = ["", "  two  spaces\n\n and <|endoftext|>tabs\t", "don't 12,5　x é日本 " * 40, "y" * 3000, " <s> a"]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        want = list(map(len, sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)))
+    else:
+        from tokenizers import Tokenizer
+
+        want = [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    counter = token_counts.Counter(path)
+    assert counter.count([t.encode() for t in texts]) == want and counter.whole == (name != "word_bpe_49k.json")
+
+
 def test_rows_without_or_with_one_id(spark):
     """Null ids, repeated ids and repeated rows: each row has its answer, equal rows the same one."""
     w = " ".join(f"w{k}" for k in range(80))
