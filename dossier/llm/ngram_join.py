@@ -12,6 +12,7 @@ count for two differences each. Sets that meet in a segment are verified exactly
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from dossier.llm.common import WordHashes, in_arrow, lower_ascii_bytes, material
 from dossier.llm.components import components
 
 WORDS, PERCENT = 5, 80
-#: Cells of the table of segment frequencies; a power of two. It bounds what the driver gets and sends.
-CELLS = 1 << 19
+#: Cells of the table of segment frequencies, at least and at most: a power of two, about one for each two rows. The most bounds what a task counts and the driver gets; a bit for each is sent.
+CELLS, MOST_CELLS = 1 << 19, 1 << 24
 #: Members that each bucket is compared with, before all its pairs that are still apart.
 HUBS = 3
 #: Least bits of a set's parity sketch; larger sets have the next power of two above their size. Sketches
@@ -136,10 +137,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.n
             yield ids[i], shingles(words, hashes, k), digest, first
 
 
-def _scan(k: int, percent: int):
+def _scan(k: int, percent: int, cells: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "n", "key", "sketch", "slice", "counts"]
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(cells, np.int64)
 
         def rows(held):
             n = len(held)
@@ -153,16 +154,16 @@ def _scan(k: int, percent: int):
                     met.append(sig)
                     waiting += len(sig)
             if waiting > 1_000_000:
-                counts += np.bincount((np.concatenate(met) >> np.uint64(32)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
+                counts += np.bincount((np.concatenate(met) >> np.uint64(32)).astype(np.int64) & (cells - 1), minlength=cells)
                 met, waiting = [], 0
             if len(held) >= 20_000:
                 yield rows(held)
                 held = []
         yield rows(held)
         if met:
-            counts += np.bincount((np.concatenate(met) >> np.uint64(32)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
+            counts += np.bincount((np.concatenate(met) >> np.uint64(32)).astype(np.int64) & (cells - 1), minlength=cells)
         parts = counts.reshape(_SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([np.minimum(p, 255).astype(np.uint8).tobytes() for p in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in parts], pa.binary())], names)
 
     return scan
 
@@ -172,13 +173,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for b in batches:
         for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held[k] = held.get(k, 0) + np.frombuffer(x, np.uint8).astype(np.int64)
+            held[k] = held.get(k, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["slice", "counts"])
 
 
-def heavy_cells(tables: DataFrame) -> np.ndarray:
-    """Which cells of the frequency table stand out. CELLS numbers reach the driver, whatever the input."""
-    counts = np.zeros((_SLICES, CELLS // _SLICES), np.int64)
+def heavy_cells(tables: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """Which cells of the frequency table stand out. So many numbers reach the driver, MOST_CELLS whatever the input."""
+    counts = np.zeros((_SLICES, cells // _SLICES), np.int64)
     for k, x in tables.repartition(_SLICES, "slice").transform(in_arrow, _added, "slice int, counts binary").collect():
         counts[k] += np.frombuffer(bytes(x), np.int64)
     counts = counts.reshape(-1)
@@ -309,10 +310,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document. Other columns are ignored; an empty table gives an empty result. ids are long.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    first = materialize(thin.transform(in_arrow, _scan(k, percent), "_id long, n long, key binary, sketch binary, slice int, counts binary"), "join-sets")
+    cells = min(MOST_CELLS, max(CELLS, 1 << (docs.count() // 2).bit_length()))
+    first = materialize(thin.transform(in_arrow, _scan(k, percent, cells), "_id long, n long, key binary, sketch binary, slice int, counts binary"), "join-sets")
     rows = first.where("slice is null").select("_id", "n", "key")
     total = rows.count()
-    heavy = heavy_cells(first.where("slice is not null").select("slice", "counts"))
+    heavy = heavy_cells(first.where("slice is not null").select("slice", "counts"), cells)
 
     named = rows.where("_id is not null and n > 0")
     classes = named.groupBy("key").agg(F.min("_id").alias("rep"), F.count("*").alias("size"))
