@@ -95,4 +95,4 @@ def hand_on(spark: SparkSession, path: str, step: str, **values: str) -> dict[st
 
 def show(df: DataFrame, rows: int = 20) -> str:
     """The first rows as text, for a console."""
-    return df._show_string(rows, True) if hasattr(df, "_show_string") else str(df.limit(rows).toPandas())
+    return df.limit(rows).toPandas().to_string(index=False)

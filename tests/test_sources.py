@@ -74,6 +74,7 @@ def test_stored_tables(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/report").where("doc_id = 'e'").first().fact_id == "y"
     index = sinks.save_index(spark.createDataFrame([(1, "span", [1.0, 0.0])], "vec_id int, label string, embedding array<float>"), f"{tmp_path}/index")
     assert index.first().label == "span"
+    assert sinks.show(index.select("vec_id", "label")).split() == ["vec_id", "label", "1", "span"]
 
 
 def test_pages_that_were_worked_on(spark):
