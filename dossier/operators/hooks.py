@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -163,3 +163,65 @@ def standard_of(answer: Column) -> Column:
     """The name of a standard that a model answers, without quotes; else `Unknown Standard`."""
     said = F.btrim(F.btrim(F.trim(F.coalesce(answer, F.lit(""))), F.lit('"')), F.lit("'"))
     return F.when(said == "", "Unknown Standard").otherwise(said)
+
+
+def first_of(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each key, in an order that is total. Rows are ranked in 64 parts of a key first, so no task sorts a whole key."""
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    near = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key, part).orderBy(*order))).where(F.col("_k") <= most)
+    return near.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
+
+
+def reviewed(facts: DataFrame, hook: Callable[[list[dict]], list[dict]] | None, kind: str, least: int, order: list[Column], most: int) -> DataFrame:
+    """doc_id, kind, severity, description, evidence: what a model finds in the first facts of each document that has at least `least`.
+
+    hook gets those facts as a list; findings without a description are left out, without a severity they are MEDIUM.
+    """
+    schema = "doc_id string, kind string, severity string, description string, evidence string"
+    if hook is None:
+        return facts.sparkSession.createDataFrame([], schema)
+
+    def ask(part: pd.DataFrame) -> pd.DataFrame:
+        said = hook(part.sort_values("_place").drop(columns="_place").to_dict("records")) if len(part) >= least else []
+        rows = [x for x in said if isinstance(x, dict) and x.get("description")] if isinstance(said, list) else []
+        return pd.DataFrame([(part["doc_id"].iloc[0], kind, x.get("severity") or "MEDIUM", x["description"], x.get("evidence", "")) for x in rows], columns=[c.split()[0] for c in schema.split(", ")])
+
+    shown = first_of(facts, "doc_id", order, most).withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return shown.groupBy("doc_id").applyInPandas(ask, schema)
+
+
+def consistency_review(facts: DataFrame, hook) -> DataFrame:
+    """Sure facts by their page, at least five."""
+    from dossier.operators import checks
+
+    return reviewed(checks.measured(facts).where(F.col("confidence") > fixed.PROMPT_CONFIDENCE), hook, "llm_flagged", 5, [F.col("source_page"), F.col("fact_id")], fixed.PROMPT_FACTS)
+
+
+def anomaly_review(facts: DataFrame, hook) -> DataFrame:
+    """The first facts of a document, in the order of their ids."""
+    from dossier.operators import checks
+
+    return reviewed(checks.measured(facts), hook, "llm_flagged", 1, [F.col("fact_id")], fixed.ANOMALY_FACTS)
+
+
+def page_graph(pages: DataFrame, answer, concept, cache: DataFrame | None = None, size: int = 5000, overlap: int = 150) -> dict[str, DataFrame]:
+    """answers, triples, nodes, edges, concepts of pages (doc_id, page_num, sector, text): chunks go to the answer hook, items to the concept hook.
+
+    Pages that cache (doc_id, page_num, raw, ...) has are not asked again, also where it has nothing of them. Pages of at most
+    LEAST_GRAPH_TEXT characters are left out.
+    """
+    from dossier.operators import graph
+    from dossier.operators.pages import chunks_of
+    from dossier.sources import sinks
+
+    new, _ = sinks.uncached(pages.where(F.length(F.trim("text")) > fixed.LEAST_GRAPH_TEXT), cache)
+    keep = ["doc_id", "page_num", "sector"]
+    chunks = rows_from(new, lambda row: [{"chunk": k, "text": t} for k, t in enumerate(chunks_of(row["text"], size, overlap))], "chunk int, text string", keep)
+    answers = answers_from_chunks(chunks, None if answer is None else lambda row: [{"raw": answer(row["text"], row["sector"])}], [*keep, "chunk"])
+    if cache is not None:
+        answers = cache.select(answers.columns).unionByName(answers)
+    seq = (F.col("page_num") * 1000 + F.col("chunk")).cast("long")
+    triples = graph.parse_triples(answers.select("doc_id", (F.col("page_num") + 1).alias("source_page"), "sector", seq.alias("seq"), "raw"))
+    items = concepts_of(graph.concept_batches(triples), concept)
+    concepts = items.withColumn("concepts", graph.clean_concepts(F.col("concepts"))).join(triples.select("doc_id", "sector").distinct(), "doc_id")
+    return {"answers": answers, "triples": triples, "nodes": graph.kg_nodes(triples), "edges": graph.kg_edges(triples), "concepts": graph.concept_nodes(concepts)}

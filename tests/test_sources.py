@@ -128,3 +128,27 @@ def test_answers_and_routes(spark):
 
     got = [(r.s.sector, r.s.confidence, r.n) for r in df.select(hooks.sector_of(F.col("a")).alias("s"), hooks.standard_of(F.col("b")).alias("n")).collect()]
     assert got == [("Ports", 0.8, "IRC:37"), ("Rail Infrastructure", 0.1, "Unknown Standard")]
+
+
+def test_reviews(spark):
+    rows = [(f"f{k:02d}", "d" if k < 90 else "e", "m", f"s{k}", 0.9 if k % 2 else 0.5, 100 - k) for k in range(94)]
+    facts = spark.createDataFrame(rows, "fact_id string, doc_id string, fact_type string, subject string, confidence double, source_page int")
+    seen = lambda fs: [{"description": f"{len(fs)} {fs[0]['fact_id']}"}, {"severity": "HIGH"}, {"description": "x", "severity": "LOW", "evidence": "y"}, 7]
+    got = {tuple(r) for r in hooks.consistency_review(facts, seen).collect()}
+    assert got == {("d", "llm_flagged", "MEDIUM", "45 f89", ""), ("d", "llm_flagged", "LOW", "x", "y")}  # the other document has too few sure facts
+    assert {r.description for r in hooks.anomaly_review(facts, seen).collect()} == {"60 f00", "4 f90", "x"}
+    assert hooks.anomaly_review(facts, None).count() == 0
+
+
+def test_graph_of_pages(spark):
+    text = "The pier stands on a pile cap of concrete. " * 300
+    pages = spark.createDataFrame([("d", 0, "Metro", text), ("d", 1, "Metro", "short"), ("d", 2, "Metro", "A second page with enough text to be asked about, surely.")], "doc_id string, page_num int, sector string, text string")
+    asked = lambda t, sector: json.dumps({"triples": [{"Head": "Pier", "Relation": "on", "Tail": f"cap {len(t) > 100}"}]})
+    got = hooks.page_graph(pages, asked, lambda items: {i: [" Structure ", "a label of four words"] for i in items})
+    assert got["answers"].groupBy("page_num").count().orderBy("page_num").collect()[0]["count"] > 1
+    assert {(r.label, r.node_type) for r in got["nodes"].collect()} == {("Pier", "entity"), ("cap True", "entity"), ("cap False", "entity")}
+    assert sorted(r.source_page for r in got["edges"].collect()) == [1, 3]
+    assert [(r.name, r.sector) for r in got["concepts"].collect()] == [("structure", "Metro")]
+    cache = spark.createDataFrame([("d", 0, "Metro", 0, None)], "doc_id string, page_num int, sector string, chunk int, raw string")
+    assert {r.label for r in hooks.page_graph(pages, asked, None, cache)["nodes"].collect()} == {"Pier", "cap False"}
+    assert hooks.page_graph(pages, None, None)["triples"].count() == 0
