@@ -21,7 +21,7 @@ HOT_SHARE = 0.001
 #: Anchors that a task holds before they are sent.
 HELD = 1 << 20
 #: Bits of the filter of repeated anchors for each of them, and at most: beyond, it lets more stretches through.
-FILTER_BITS, FILTER_MOST = 12, 1 << 30
+FILTER_BITS, FILTER_MOST = 32, 1 << 30
 _PLACE_BITS = np.uint64(24)
 
 

@@ -234,14 +234,12 @@ def _settled(rows: list[tuple], window: int) -> tuple[np.ndarray, ...]:
     """(id, key, span) of the windows of one range that also start under a smaller id; a span is its first window times 2 ** 20 plus the number of its windows."""
     ids, keys, starts = (np.concatenate([np.frombuffer(r[j], np.int64) for r in rows]) for j in range(3))
     windows = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows]).astype(np.int64)
-    number: dict[bytes, int] = {}
-    of = []
+    every = []
     for r in rows:
-        blob, lo = r[4], 0
-        for n in (np.frombuffer(r[3], np.int32) + (window - 1)).tolist():
-            of.append(number.setdefault(blob[lo : lo + n], len(number)))
-            lo += n
-    of = np.array(of, np.int64)
+        blob, ends = r[4], np.cumsum(np.frombuffer(r[3], np.int32).astype(np.int64) + (window - 1)).tolist()
+        every += [blob[lo:hi] for lo, hi in zip([0, *ends], ends)]
+    number = {x: k for k, x in enumerate(dict.fromkeys(every))}
+    of = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
     least = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(least, of, ids)
     owner, first = least_ids(list(number), least, window)
