@@ -1,10 +1,10 @@
 """Long repeated spans of words by a compacted de Bruijn graph, and what is left without them.
 
-Windows of 50 words are the edges of the graph, their overlaps of 49 words its nodes. Windows with one anchor (see
-spans) come to one task, which names their words' runs exactly by doubling, and so nodes and edges; an edge is
-repeated if a text with a larger id has it too, and its source is its first place under its smallest id. There, edges that
-follow each other without a branch are one piece. Pieces that meet in a node without a branch compact into paths
-through joins. A text's places on a path are a long span, which is read again in both texts, at the coordinates of the source.
+Windows of 50 words are the edges of the graph, their overlaps of 49 words its nodes, both named by 64-bit hashes. Windows with one anchor
+(see spans) come to one task; an edge is repeated if a text with a larger id has it too, and its source is its first
+place under its smallest id. There, edges that follow each other without a branch are one piece. Pieces that meet in
+a node without a branch compact into paths through joins. A text's places on a path are a long span, whose words
+are read again in both texts, at the coordinates of the source.
 """
 
 from __future__ import annotations
@@ -107,22 +107,29 @@ class Deal:
 
 
 def _dealt(window: int, k: int, sent, deal):
-    """Stretches that may meet others, packed by range: ids, keys, first windows, numbers of windows, words."""
-    names = ["range", "run", "ids", "keys", "starts", "windows", "blob"]
+    """Stretches that may meet others, packed by range: ids, keys, first windows, numbers of windows, nodes at both ends, edges."""
+    names = ["range", "run", "ids", "keys", "starts", "windows", "lefts", "rights", "edges"]
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
-        to, run, ids, keys, starts, windows = (np.concatenate([h[j] for h in held]) for j in range(6))
-        said = [x for h in held for x in h[6]]
+        to, run, ids, keys, starts, windows, lefts, rights, edges = (np.concatenate([h[j] for h in held]) for j in range(9))
         order = np.lexsort((run, to))
         cut = np.flatnonzero(np.concatenate(([True], (to[order][1:] != to[order][:-1]) | (run[order][1:] != run[order][:-1]))))
-        rows = [(int(to[o[0]]), int(run[o[0]]), ids[o].tobytes(), keys[o].tobytes(), starts[o].tobytes(), windows[o].astype(np.int32).tobytes(), b"\n".join([said[j] for j in o])) for o in np.split(order, cut[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int32() if j < 2 else pa.binary()) for j in range(7)], names)
+        begin = np.cumsum(windows) - windows
+        rows = []
+        for o in np.split(order, cut[1:]):
+            n = windows[o]
+            at = np.repeat(begin[o] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            rows.append((int(to[o[0]]), int(run[o[0]]), *(x[o].tobytes() for x in (ids, keys, starts, windows, lefts, rights)), edges[at].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int32() if j < 2 else pa.binary()) for j in range(9)], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, ranges = Filter(*sent.value), deal.value
         held, n = [], 0
         for part, _, ids, keys, lows in parts(batches, window, k):
             keep = np.flatnonzero(there(part.hash))
+            if not len(keep):
+                continue
+            whole, nodes = rolling(part.tokens, window), rolling(part.tokens, window - 1)
             hot = ranges.is_hot(part.hash[keep])
             for own, single in ((keep[~hot], False), (keep[hot], True)):
                 if not len(own):
@@ -132,15 +139,14 @@ def _dealt(window: int, k: int, sent, deal):
                     owner = np.repeat(owner, windows)
                     first = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
                     windows = np.ones(len(first), np.int64)
-                    h = rolling(part.tokens, window)[first]
-                    run = ranges.run_of(h)
-                    to = np.where(run >= 0, ranges.of(h + ids[owner].view(np.uint64)), ranges.of(h))
+                    run = ranges.run_of(whole[first])
+                    to = np.where(run >= 0, ranges.of(whole[first] + ids[owner].view(np.uint64)), ranges.of(whole[first]))
                 else:
                     to, run = ranges.of(part.hash[own]), np.full(len(first), -1)
-                said = [b" ".join(part.words[f : f + m]) for f, m in zip(first.tolist(), (windows + window - 1).tolist())]
-                held.append((to, run, ids[owner], keys[owner], first - part.bases[owner] + lows[owner], windows, said))
-                n += sum(map(len, said))
-            if n >= 8 * HELD:
+                edges = whole[np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())]
+                held.append((to, run, ids[owner], keys[owner], first - part.bases[owner] + lows[owner], windows, nodes[first], nodes[first + windows], edges))
+                n += len(edges) + 6 * len(first)
+            if n >= HELD:
                 yield packed(held)
                 held, n = [], 0
         if held:
@@ -149,138 +155,83 @@ def _dealt(window: int, k: int, sent, deal):
     return scan
 
 
-def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for each different pair."""
-    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
-
-
-def named_runs(words: np.ndarray, length: int) -> np.ndarray:
-    """A number for each different run of `length` words, by doubling: equal numbers for equal runs and no others."""
-    n, done, at, have, step = len(words) - length + 1, None, 0, words, 1
-    while True:
-        if length & step:
-            done = have[at : at + n] if done is None else _named(done, have[at : at + n])
-            at += step
-        step *= 2
-        if step > length:
-            return done
-        have = _named(have[: -(step // 2)], have[step // 2 :])
-
-
-#: What a range yields: members (text's place, its source's place, the first edge of the source's piece) and pieces (n edges from a place of their source, nodes at both ends).
+#: What a range yields: members (text's place, its source's place, the first edge of the source's piece) and pieces (n edges from a place of their source, nodes at their ends where other pieces may follow).
 FOUND = "piece boolean, _id long, _key long, start long, n long, src_id long, src_key long, src_start long, at long, left long, right long, run int"
 
 
-def _node(words: list[bytes]) -> int:
-    """A hash of a node's words, by which pieces find each other; their coordinates decide."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
-
-
 def _batch(piece, cols, run=None) -> pa.RecordBatch:
     n = len(cols[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), *(pa.nulls(n, pa.int64()) if c is None else pa.array(np.asarray(c, np.int64)) for c in cols), pa.nulls(n, pa.int32()) if run is None else pa.array(np.full(n, run, np.int32))], [c.split()[0] for c in FOUND.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), *(pa.nulls(n, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(np.asarray(c, np.int64)) for c in cols), pa.nulls(n, pa.int32()) if run is None else pa.array(np.full(n, run, np.int32))], [c.split()[0] for c in FOUND.split(", ")])
 
 
-def _graph(rows: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
+def _graph(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Members and pieces of one range."""
-    ids, keys, starts = (np.concatenate([np.frombuffer(r[j], np.int64) for r in rows]) for j in range(3))
-    number: dict[bytes, int] = {}
-    of = np.array([number.setdefault(x, len(number)) for r in rows for x in r[4].split(b"\n")], np.int64)
-    # a stretch's first place: the smallest id, key and start that have it
-    order = np.lexsort((starts, keys, ids))
-    first = np.full(len(number), len(of))
-    np.minimum.at(first, of[order], np.arange(len(of)))
-    first = order[first]
-    last_id = np.full(len(number), np.iinfo(np.int64).min)
-    np.maximum.at(last_id, of, ids)
-    rank = np.empty(len(number), np.int64)
-    rank[np.lexsort((starts[first], keys[first], ids[first]))] = np.arange(len(number))
-    by_rank = np.argsort(rank)
-
-    vocabulary: dict[bytes, int] = {}
-    said = [x.split(b" ") for x in number]
-    length = np.array([len(x) for x in said], np.int64)
-    flat = [w for x in said for w in x]
-    words = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in flat), np.int64, len(flat))
-    node = named_runs(words, window - 1)
-    edge = _named(node[:-1], words[window - 1 :])
-    base = np.cumsum(length) - length
-    windows = length - window + 1
-    upto = np.cumsum(windows) - windows
-    which = np.repeat(np.arange(len(said)), windows)
-    offset = np.arange(windows.sum()) - upto[which]
-    at = base[which] + offset
-    edge, enters, leaves = edge[at], node[at], node[at + 1]
+    ids, keys, starts, windows, lefts, rights, edges = (np.concatenate([np.frombuffer(r[j], np.int64) for r in rows]) for j in range(7))
+    names, edge = np.unique(edges, return_inverse=True)
+    which = np.repeat(np.arange(len(ids)), windows)
+    offset = np.arange(len(which)) - (np.cumsum(windows) - windows)[which]
     # the source of an edge: its first place under its smallest id
-    names, edge = np.unique(edge, return_inverse=True)
-    source = np.full(len(names), np.iinfo(np.int64).max)
+    order = np.lexsort((starts, keys, ids))
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    source, largest = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
     np.minimum.at(source, edge, (rank[which] << 20) | offset)
-    largest = np.full(len(names), np.iinfo(np.int64).min)
-    np.maximum.at(largest, edge, last_id[which])
-    src, src_offset = by_rank[source >> 20], source & ((1 << 20) - 1)
-    repeated = largest > ids[first[src]]
-
-    # pieces: places of their source that follow each other, without a branch at the node between
+    np.maximum.at(largest, edge, ids[which])
+    src, src_offset = order[source >> 20], source & ((1 << 20) - 1)
+    repeated = largest > ids[src]
+
+    # edges that follow each other somewhere: without a branch if one has no other next and the other no other last one
+    follow = np.flatnonzero((which[1:] == which[:-1]) & repeated[edge[1:]] & repeated[edge[:-1]])
+    pairs = np.unique(edge[follow] * len(names) + edge[follow + 1])
+    out, into = np.bincount(pairs // max(1, len(names)), minlength=len(names)), np.bincount(pairs % max(1, len(names)), minlength=len(names))
     own = np.flatnonzero(repeated[edge] & (src[edge] == which) & (src_offset[edge] == offset))
     if not len(own):
         return
-    _, node_no = np.unique(np.concatenate((enters[own], leaves[own])), return_inverse=True)
-    enters, leaves = node_no[: len(own)], node_no[len(own) :]
-    out, into = np.bincount(enters, minlength=node_no.max() + 1), np.bincount(leaves, minlength=node_no.max() + 1)
-    goes_on = (which[own][1:] == which[own][:-1]) & (offset[own][1:] == offset[own][:-1] + 1) & (out[enters[1:]] == 1) & (into[enters[1:]] == 1)
+    goes_on = (which[own][1:] == which[own][:-1]) & (offset[own][1:] == offset[own][:-1] + 1) & (out[edge[own[:-1]]] == 1) & (into[edge[own[1:]]] == 1)
     begins = np.flatnonzero(np.concatenate(([True], ~goes_on)))
     count = np.diff(np.append(begins, len(own)))
     k, o = which[own[begins]], offset[own[begins]]
-    place = starts[first[k]] + o
-    ends = [(_node(flat[b : b + window - 1]), _node(flat[b + m : b + m + window - 1])) for b, m in zip((base[k] + o).tolist(), count.tolist())]
-    yield _batch(True, [ids[first[k]], keys[first[k]], place, count, None, None, None, None, [e[0] for e in ends], [e[1] for e in ends]])
+    place = starts[k] + o
+    # within a stretch a piece ends at a branch or where its source does, and nothing goes on there
+    left, right = pa.array(lefts[k], mask=o > 0), pa.array(rights[k], mask=o + count < windows[k])
+    yield _batch(True, [ids[k], keys[k], place, count, None, None, None, None, left, right])
     piece_of = np.full(len(names), -1)
     piece_of[edge[own]] = np.repeat(np.arange(len(begins)), count)
 
     # members: every place of a repeated edge under a larger id than its source's
-    take = np.repeat(np.arange(len(of)), windows[of])
-    w = upto[of[take]] + np.arange(len(take)) - np.repeat(np.cumsum(windows[of]) - windows[of], windows[of])
-    e = edge[w]
-    hit = repeated[e] & (ids[first[src[e]]] < ids[take])
-    take, w, e = take[hit], w[hit], e[hit]
-    if not len(take):
+    at = np.flatnonzero(repeated[edge] & (ids[src[edge]] < ids[which]))
+    if not len(at):
         return
-    there = starts[first[src[e]]] + src_offset[e]
-    new = np.concatenate(([True], (take[1:] != take[:-1]) | (w[1:] != w[:-1] + 1) | (piece_of[e][1:] != piece_of[e][:-1]) | (there[1:] != there[:-1] + 1)))
+    t, e = which[at], edge[at]
+    there = starts[src[e]] + src_offset[e]
+    new = np.concatenate(([True], (t[1:] != t[:-1]) | (at[1:] != at[:-1] + 1) | (piece_of[e][1:] != piece_of[e][:-1]) | (there[1:] != there[:-1] + 1)))
     begin = np.flatnonzero(new)
-    n = np.diff(np.append(begin, len(take)))
-    t, x, e, there = take[begin], w[begin], e[begin], there[begin]
-    yield _batch(False, [ids[t], keys[t], starts[t] + offset[x], n, ids[first[src[e]]], keys[first[src[e]]], there, place[piece_of[e]], None, None])
-
+    n = np.diff(np.append(begin, len(at)))
+    t, e, there, at = t[begin], e[begin], there[begin], at[begin]
+    yield _batch(False, [ids[t], keys[t], starts[t] + offset[at], n, ids[src[e]], keys[src[e]], there, place[piece_of[e]], None, None])
 
-def _settle(window: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by range; hot windows leave as they are, with their number and nodes."""
-        now, held = None, []
-        for b in batches:
-            for to, run, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if run >= 0:
-                    ids, keys, starts = (np.frombuffer(x, np.int64) for x in row[:3])
-                    words = row[4].split(b"\n", 1)[0].split(b" ")
-                    none = np.zeros(len(ids), np.int64)
-                    yield _batch(False, [ids, keys, starts, none + 1, None, None, None, None, none + _node(words[:-1]), none + _node(words[1:])], run)
-                    continue
-                if to != now and held:
-                    yield from _graph(held, window)
-                    held = []
-                now = to
-                held.append(row)
-        if held:
-            yield from _graph(held, window)
 
-    return scan
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by range; hot windows leave as they are, with their number and nodes."""
+    now, held = None, []
+    for b in batches:
+        for to, run, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if run >= 0:
+                ids, keys, starts, windows, lefts, rights = (np.frombuffer(x, np.int64) for x in row[:6])
+                yield _batch(False, [ids, keys, starts, windows, None, None, None, None, lefts, rights], run)
+                continue
+            if to != now and held:
+                yield from _graph(held)
+                held = []
+            now = to
+            held.append(row)
+    if held:
+        yield from _graph(held)
 
 
 def _paths(pieces: DataFrame) -> DataFrame:
     """_id, _key, start, head: the first piece of each piece's path, by pointer doubling. pieces: _id, _key, start, n, left, right."""
-    one = lambda side: pieces.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("k")).where("k = 1").select("node")
+    one = lambda side: pieces.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("node")).agg(F.count("*").alias("k")).where("k = 1").select("node")
     simple = one("left").join(one("right"), "node")
     before = pieces.select("_id", "_key", F.col("start").alias("before"), (F.col("start") + F.col("n")).alias("start"), F.col("right").alias("node"))
     links = before.join(simple, "node").join(pieces.select("_id", "_key", "start", F.col("left").alias("node")), ["_id", "_key", "start", "node"]).select("_id", "_key", "start", "before")
@@ -332,8 +283,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, in_r
     sent_deal = spark.sparkContext.broadcast(deal)
 
     tasks = min(deal.ranges, 4 * least)
-    dealt = texts.transform(in_arrow, _dealt(window, k, sent, sent_deal), "range int, run int, ids binary, keys binary, starts binary, windows binary, blob binary")
-    found = materialize(dealt.repartitionById(tasks, F.pmod("range", F.lit(tasks))).sortWithinPartitions("range", "run").transform(in_arrow, _settle(window), FOUND), "spans-found")
+    dealt = texts.transform(in_arrow, _dealt(window, k, sent, sent_deal), "range int, run int, ids binary, keys binary, starts binary, windows binary, lefts binary, rights binary, edges binary")
+    found = materialize(dealt.repartitionById(tasks, F.pmod("range", F.lit(tasks))).sortWithinPartitions("range", "run").transform(in_arrow, _settle, FOUND), "spans-found")
     members = found.where("not piece and run is null").select("_id", "_key", "start", "n", "src_id", "src_key", "src_start", "at")
     pieces = found.where("piece").select("_id", "_key", "start", "n", "left", "right")
     if len(deal.runs):
@@ -374,7 +325,7 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts have no words; texts of fewer than `window` words lose none; a null id neither gives nor loses words. Rows
     that share an id are texts of their own, which take nothing from each other; repeated rows get the same answer. Texts of any
     length are read whole. Other columns are ignored; an empty table gives an empty result. A span whose words are not
-    those of its source raises (two different runs of words with one 64-bit hash, under a window that is in very many texts).
+    those of its source raises: two different runs of words with one 64-bit hash.
     """
     thin, texts, copies = units(docs, id_col, text_col)
     found = materialize(repeated_spans(texts, window, min(ANCHOR, max(1, window // 2)), in_range), "spans-said")

@@ -165,17 +165,6 @@ def test_paths_of_pieces(spark):
     assert got == {**{(1, 10 * k): 0 if k < 5 else 50 for k in range(20)}, (1, 200): 200, (2, 0): 0, (3, 0): 0}
 
 
-def test_named_runs_are_exact():
-    import numpy as np
-
-    r = np.random.default_rng(1)
-    x = r.integers(0, 2, 400)
-    for n in (1, 2, 7, 12):
-        named = substring_dedup.named_runs(x, n)
-        runs = [tuple(x[j : j + n]) for j in range(len(x) - n + 1)]
-        assert len(named) == len(runs) and len(set(zip(named.tolist(), runs))) == len(set(runs)) == len(set(named.tolist()))
-
-
 @pytest.mark.parametrize("in_range", [150_000, 30])
 def test_suffix_dedup(spark, in_range):
     rows = skewed()
