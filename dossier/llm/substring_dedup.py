@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import BROADCAST_IDS, WordHashes, in_arrow, materialize, rolling
@@ -230,20 +230,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paths(pieces: DataFrame) -> DataFrame:
-    """_id, _key, start, head: the first piece of each piece's path, by pointer doubling. pieces: _id, _key, start, n, left, right."""
+    """_id, _key, start, head: the first piece of each piece's path. pieces: _id, _key, start, n, left, right.
+
+    A piece goes on from the one before it, at the same source, where both meet in a node that no other piece enters or leaves: two joins
+    on nodes find such pieces. A path is then a run of them in their source, which bounds it.
+    """
     one = lambda side: pieces.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("node")).agg(F.count("*").alias("k")).where("k = 1").select("node")
     simple = one("left").join(one("right"), "node")
-    before = pieces.select("_id", "_key", F.col("start").alias("before"), (F.col("start") + F.col("n")).alias("start"), F.col("right").alias("node"))
-    links = before.join(simple, "node").join(pieces.select("_id", "_key", "start", F.col("left").alias("node")), ["_id", "_key", "start", "node"]).select("_id", "_key", "start", "before")
-    at = materialize(pieces.select("_id", "_key", "start").join(links, ["_id", "_key", "start"], "left").select("_id", "_key", "start", F.coalesce("before", "start").alias("head")), "paths")
-    for _ in range(64):
-        far = at.select("_id", "_key", F.col("start").alias("head"), F.col("head").alias("farther")).where("head <> farther")
-        next_ = at.join(far, ["_id", "_key", "head"], "left").select("_id", "_key", "start", F.coalesce("farther", "head").alias("head"), F.col("farther").isNotNull().alias("moved"))
-        next_ = materialize(next_, "paths")
-        at = next_.drop("moved")
-        if next_.where("moved").isEmpty():
-            return at
-    raise RuntimeError("paths did not end")
+    before = pieces.select("_id", "_key", (F.col("start") + F.col("n")).alias("start"), F.col("right").alias("node")).join(simple, "node")
+    links = before.join(pieces.select("_id", "_key", "start", F.col("left").alias("node")), ["_id", "_key", "start", "node"]).select("_id", "_key", "start", F.lit(True).alias("goes_on"))
+    at = pieces.select("_id", "_key", "start").join(links, ["_id", "_key", "start"], "left")
+    upto = Window.partitionBy("_id", "_key").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    return at.select("_id", "_key", "start", F.max(F.when(F.col("goes_on").isNull(), F.col("start"))).over(upto).alias("head"))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
