@@ -312,7 +312,9 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, in_r
                 out += [(i, key, p["start"], p["n"], _digest(words[p["start"] : p["start"] + p["n"] + window - 1])) for p in places]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64() if j < 4 else pa.binary()) for j in range(5)], ["src_id", "src_key", "src_start", "n", "said"])
 
-    said = asked.join(texts, ["_id", "_key"]).select("_id", "_key", "asked", "_text").transform(in_arrow, read, "src_id long, src_key long, src_start long, n long, said binary")
+    sources = asked.select("_id", "_key").distinct()
+    of_sources = texts.join(F.broadcast(sources) if sources.count() <= BROADCAST_IDS else sources, ["_id", "_key"], "left_semi")  # few texts are sources
+    said = asked.join(of_sources, ["_id", "_key"]).select("_id", "_key", "asked", "_text").transform(in_arrow, read, "src_id long, src_key long, src_start long, n long, said binary")
     return spans.join(said, ["src_id", "src_key", "src_start", "n"]).select("_id", "_key", "start", "n", "said")
 
 
