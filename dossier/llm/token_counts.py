@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import in_arrow
+
 #: Vocabulary file of the public_tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes that go to the encoder in one batch.
 BATCH_BYTES = 1 << 20
 #: Words whose counts a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 TOKEN_LIMIT = 2048
 
 
@@ -83,6 +87,13 @@ class Counter:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> Counter:
+    """The counter of a worker, which keeps its words for later tasks. A task has one core, on which the encoder's threads would only wait for each other."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
@@ -92,7 +103,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     path = path or vocabulary_path()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for b in batches:
             texts = b.column(1).fill_null(b"")
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1 + texts.offset)[texts.offset :]) if pa.types.is_binary(texts.type) else np.array([len(x.as_py()) for x in texts])
@@ -108,7 +119,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
     thin = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = thin.schema["_id"].dataType.simpleString()
-    found = thin.mapInArrow(scan, f"_id {kind}, n_bytes bigint, n_tokens bigint")
+    found = thin.transform(in_arrow, scan, f"_id {kind}, n_bytes bigint, n_tokens bigint")
     return found.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

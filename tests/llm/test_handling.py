@@ -1,8 +1,11 @@
 """Held-out quality, exactness of the searches, and rows without, or with one and the same, id."""
 
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -91,6 +94,20 @@ def test_token_counts_of_any_vocabulary(name):
     assert counter.count([t.encode() for t in texts]) == want and counter.whole == (name != "word_bpe_49k.json")
 
 
+def test_tokens_are_counted_on_one_thread_by_one_counter():
+    code = """
+import os
+from dossier.llm import token_counts
+before = len(os.listdir('/proc/self/task'))
+counter = token_counts.counter_of(token_counts.vocabulary_path())
+assert counter.count([b' '.join(b'w%d' % k for k in range(5000))]) == [sum(1 + len(str(k)) for k in range(5000))]
+assert len(os.listdir('/proc/self/task')) == before
+assert token_counts.counter_of(token_counts.vocabulary_path()) is counter and len(counter.known) == 5000
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=120)
+
+
 def test_rows_without_or_with_one_id(spark):
     """Null ids, repeated ids and repeated rows: each row has its answer, equal rows the same one."""
     w = " ".join(f"w{k}" for k in range(80))
