@@ -44,14 +44,14 @@ def edit_distance(pattern: bytes, text: bytes) -> int:
     m = len(pattern)
     if not m:
         return 0
-    at: dict[int, int] = defaultdict(int)
+    at = [0] * 256
     for j, c in enumerate(pattern):
         at[c] |= 1 << j
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
     best = m
     for c in text:
-        eq = at.get(c, 0)
+        eq = at[c]
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | (full & ~(xh | pv))
@@ -60,10 +60,10 @@ def edit_distance(pattern: bytes, text: bytes) -> int:
             score += 1
         elif mh & top:
             score -= 1
-        if score < best:
-            best = score
+            if score < best:
+                best = score
         ph = (ph << 1) & full
-        pv = ((mh << 1) | (full & ~(xv | ph))) & full
+        pv = ((mh << 1) & full) | (full ^ (xv | ph))
         mv = ph & xv
     return best
 
@@ -124,11 +124,15 @@ def _cell(codes: np.ndarray, span: int, bits: int) -> np.ndarray:
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
     """Code of the q bytes from each place; data: int64."""
-    n = max(0, len(data) - q + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(q):
-        h = h * np.uint64(0x100000001B3) + data[j : j + n].view(np.uint64)
-    return (mix(h) >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)
+    out = np.empty(max(0, len(data) - q + 1), np.int64)
+    for lo in range(0, len(out), _CHUNK):  # in parts that a core's cache holds
+        n = min(_CHUNK, len(out) - lo)
+        h = data[lo : lo + n].astype(np.uint64)
+        for j in range(lo + 1, lo + q):
+            h *= np.uint64(0x100000001B3)
+            h += data[j : j + n].view(np.uint64)
+        out[lo : lo + n] = mix(h) >> np.uint64(64 - _GRAM_BITS)
+    return out
 
 
 def _buffer(parts: list[bytes]) -> np.ndarray:
@@ -144,9 +148,10 @@ class Items:
         self.spans: dict[bool, list[int]] = {True: [], False: []}
         pad = bytes(walks.steps)
         of: dict[tuple[bool, int], list[int]] = defaultdict(list)
-        # how often an item has each q-gram's code, or only whether where the block has many items
+        # a bit for each item that has a q-gram's code, 64 items in a row, and how often items have it where they aren't many
+        self.bits_of = np.zeros((-(-len(items) // 64), 1 << _GRAM_BITS), np.uint64)
         self.packed = len(items) > 4000
-        self.sets = np.zeros((len(items), (1 << _GRAM_BITS) >> 3 * self.packed), np.uint8)
+        self.sets = np.zeros((0 if self.packed else len(items), 1 << _GRAM_BITS), np.uint8)
         lengths = np.array([len(t) for _, t in self.texts], np.int64)
         self.slack, self.length, self.q, self.least, self.different = lengths * percent // 100 + 8, lengths, lengths * 0, lengths * 0, lengths * 0
         for k, (_, text) in enumerate(self.texts):
@@ -159,9 +164,10 @@ class Items:
                 there = np.bincount(_grams(_buffer([text]), int(self.q[k])), minlength=1 << _GRAM_BITS)
                 # of so many q-grams, those that repeat others may be in common without another code
                 self.different[k] = self.least[k] - int(there.sum()) + np.count_nonzero(there)
-                there = np.minimum(there, 255).astype(np.uint8)
+                self.bits_of[k >> 6, there > 0] |= np.uint64(1 << (k & 63))
                 self.grams.append(Counter(text[j : j + int(self.q[k])] for j in range(len(text) - int(self.q[k]) + 1)))
-                self.sets[k] = np.packbits(there > 0, bitorder="little") if self.packed else there
+                if not self.packed:
+                    self.sets[k] = np.minimum(there, 255)
         keys, item, offset = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         self.bits = min(26, max(16, int(lengths.sum() * 16).bit_length()))
         self.there = np.zeros(1 << self.bits, bool)
@@ -230,33 +236,44 @@ class Items:
     def _alike(self, data: np.ndarray, k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Which stretches of data have enough q-grams in common with their items."""
         use = self.least[k] <= 0
-        flat = self.sets.ravel()
         for q in np.unique(self.q[k[~use]]).tolist():
-            codes, rest = _grams(data, q), np.flatnonzero(~use & (self.q[k] == q))
-            rest = rest[np.argsort((hi - lo)[rest], kind="stable")]
-            while len(rest):
-                # the widest first, so many at once as a bounded table holds
-                width = max(1, int(hi[rest[-1]] - lo[rest[-1]]) - q + 1)
-                part, rest = rest[-max(1, (1 << 17) // width) :], rest[: -max(1, (1 << 17) // width)]
-                at = lo[part][:, None] + np.arange(width)
-                code = codes.take(at, mode="clip")
-                row = k[part][:, None] * self.sets.shape[1]
-                got = flat.take(row + (code >> 3)) >> (code & 7).astype(np.uint8) & 1 if self.packed else flat.take(row + code)
-                got[at > (hi[part] - q)[:, None]] = 0
-                near = np.flatnonzero(np.count_nonzero(got, axis=1) >= self.least[k[part]])
-                code = np.where(got[near], code[near], -1).astype(np.int16)
-                code.sort(axis=1)
-                new = np.ones(code.shape, bool)
-                new[:, 1:] = code[:, 1:] != code[:, :-1]
-                if self.packed:
-                    use[part[near]] = np.count_nonzero(new & (code >= 0), axis=1) >= self.different[k[part[near]]]
-                else:  # a q-gram counts as often as the item has it
-                    place = np.arange(code.shape[1], dtype=np.int32)
-                    again = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
-                    of = flat.take(k[part[near]][:, None] * self.sets.shape[1] + np.maximum(code, 0))
-                    use[part[near]] = np.count_nonzero((code >= 0) & (again < of), axis=1) >= self.least[k[part[near]]]
+            own, wide = np.flatnonzero(~use & (self.q[k] == q)), hi - lo - q + 1
+            own = own[np.lexsort((wide[own], k[own] >> 6))]
+            codes = np.concatenate((_grams(data, q), np.zeros(max(1, int(wide[own].max())), np.int64)))
+            for rest in np.split(own, np.flatnonzero(np.diff(k[own] >> 6)) + 1):
+                bits = self.bits_of[k[rest[0]] >> 6]
+                often = int(wide[rest].sum()) > len(codes)  # else bits are looked up where they are needed
+                there = bits.take(codes) if often else codes
+                while len(rest):
+                    # the widest first, so many at once as a bounded table holds
+                    width = max(1, int(wide[rest[-1]]))
+                    part, rest = rest[-max(1, (1 << 17) // width) :], rest[: -max(1, (1 << 17) // width)]
+                    got = np.lib.stride_tricks.sliding_window_view(there, width)[lo[part]]
+                    got = got if often else bits.take(got)
+                    got >>= (k[part] & 63).astype(np.uint64)[:, None]
+                    got &= np.uint64(1)
+                    # all are counted up to the width of the widest, which is no less, then those that reach it to their own ends
+                    near = np.flatnonzero(got.sum(axis=1).astype(np.int64) >= self.least[k[part]])
+                    part, got = part[near], got[near]
+                    got[np.arange(width) >= wide[part][:, None]] = 0
+                    near = np.flatnonzero(np.count_nonzero(got, axis=1) >= self.least[k[part]])
+                    if len(near):
+                        use[part[near]] = self._enough(np.where(got[near], np.lib.stride_tricks.sliding_window_view(codes, width)[lo[part[near]]], -1), k[part[near]])
         return use
 
+    def _enough(self, code: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether the codes of each row, -1 for none, are enough for its item, none counted more often than the item has it."""
+        code = code.astype(np.int16)
+        code.sort(axis=1)
+        new = np.ones(code.shape, bool)
+        new[:, 1:] = code[:, 1:] != code[:, :-1]
+        if self.packed:
+            return np.count_nonzero(new & (code >= 0), axis=1) >= self.different[k]
+        place = np.arange(code.shape[1], dtype=np.int32)
+        again = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        of = self.sets.ravel().take(k[:, None] * self.sets.shape[1] + np.maximum(code, 0))
+        return np.count_nonzero((code >= 0) & (again < of), axis=1) >= self.least[k]
+
     def matches(self, text: bytes, candidates: dict[int, list[tuple[int, int]]], percent: int) -> dict[int, int]:
         """Edit distance to the nearest part of text, of each candidate within percent of its length."""
         out: dict[int, int] = {}

@@ -126,3 +126,27 @@ def test_rows_without_or_with_one_id(spark):
     assert decontaminate.decontaminate(df.limit(0), item).count() == 0 and not any(x.contaminated for x in decontaminate.decontaminate(df, item.limit(0)).collect())
     said = language_id.identify_languages(df, steps=5).collect()
     assert len(said) == len(rows) and sum(x.lang_pred == "und" for x in said) == 2
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_stretches_are_counted_as_one_by_one(packed):
+    """Bit masks of items say the same as the q-grams of each stretch and its item."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(2, 5))) for _ in range(40)]
+    texts = [" ".join(r.choice(words) for _ in range(n)).encode() for n in [r.randint(1, 40) for _ in range(150)]]
+    items = decontaminate.Items(list(enumerate(texts)), decontaminate.Walks())
+    items.packed = packed
+    data = decontaminate._buffer([" ".join(r.choice(words) for _ in range(3000)).encode(), bytes(24)])
+    k = np.array([r.randrange(150) for _ in range(1500)])
+    lo = np.array([r.randrange(len(data) - 24) for _ in k])
+    hi = np.minimum(lo + items.length[k] + r.randint(1, 40), len(data) - 24)
+    want = []
+    for j in range(len(k)):
+        q, least = int(items.q[k[j]]), int(items.least[k[j]])
+        has = np.bincount(decontaminate._grams(decontaminate._buffer([texts[k[j]]]), q), minlength=1 << 15)
+        got = np.bincount(decontaminate._grams(data[lo[j] : hi[j]], q), minlength=1 << 15)
+        enough = np.count_nonzero((got > 0) & (has > 0)) >= items.different[k[j]] and got[has > 0].sum() >= least if packed else np.minimum(got, has).sum() >= least
+        want.append(bool(least <= 0 or enough))
+    assert 0 < sum(want) < len(want)
+    assert items._alike(data, k, lo, hi).tolist() == want
+    assert items.bits_of.shape == (3, 1 << 15)  # one look-up for 64 items
