@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import islice, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,14 @@ SPANS, STRIDE = (5, 6, 7, 8, 9, 10, 11, 12), 2
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents that walk together.
 PART_BYTES = 2 << 20
+#: Bits of patterns that are searched for side by side, and steps whose bits are kept until scores are counted.
+_SIDE_BITS, _SIDE_STEPS = 2048, 4096
 #: Windows that walk at once, and bits of a q-gram's code.
 _CHUNK, _GRAM_BITS = 1 << 15, 15
+#: Base of the codes of runs of characters, and its square.
+_BASE, _BASE_2 = np.uint64(0x100000001B3), np.uint64(0x100000001B3**2 % (1 << 64))
+#: What the table of cells says: that items have a window of this code, that longer windows of items begin with it.
+_ENDS, _GOES_ON = 1, 2
 
 
 def normalise(text: bytes | None) -> bytes:
@@ -68,6 +76,57 @@ def edit_distance(pattern: bytes, text: bytes) -> int:
     return best
 
 
+def edit_distances(pairs: list[tuple[bytes, bytes]]) -> list[int]:
+    """edit_distance of each (pattern, text). Short patterns search in the same integers, side by side with a bit free between them."""
+    out = [0] * len(pairs)
+    rest = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))  # texts of like lengths end together
+    while rest:
+        part, width = [], 0
+        while rest and (not part or width + len(pairs[rest[-1]][0]) < _SIDE_BITS):
+            part.append(rest.pop())
+            width += len(pairs[part[-1]][0]) + 1
+        if len(part) == 1:
+            out[part[0]] = edit_distance(*pairs[part[0]])
+            continue
+        full, base, reads, tops = 0, 0, [], []
+        for i in part:
+            pattern, text = pairs[i]
+            at = [0] * 256
+            for j, c in enumerate(pattern, base):
+                at[c] |= 1 << j
+            reads.append(map(at.__getitem__, text))
+            full |= ((1 << len(pattern)) - 1) << base
+            tops.append(base + len(pattern) - 1)
+            base += len(pattern) + 1
+        pv, mv, size = full, 0, -(-base // 8)
+        score, best = [len(pairs[i][0]) for i in part], [len(pairs[i][0]) for i in part]
+        steps, done = map(sum, zip_longest(*reads, fillvalue=0)), 0
+        while True:
+            up, down = [], []
+            for eq in islice(steps, _SIDE_STEPS):
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph = mv | (full ^ ((xh | pv) & full))
+                mh = pv & xh
+                up.append(ph.to_bytes(size, "little"))
+                down.append(mh.to_bytes(size, "little"))
+                ph = (ph << 1) & full
+                pv = ((mh << 1) & full) | (full ^ (xv | ph))
+                mv = ph & xv
+            if not up:
+                break
+            ups, downs = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, size) for x in (up, down))
+            for n, i in enumerate(part):
+                own, byte, bit = slice(0, max(0, len(pairs[i][1]) - done)), tops[n] >> 3, tops[n] & 7
+                if pairs[i][0] and pairs[i][1][done:]:
+                    scores = score[n] + np.cumsum((ups[own, byte] >> bit & 1).astype(np.int64) - (downs[own, byte] >> bit & 1))
+                    score[n], best[n] = int(scores[-1]), min(best[n], int(scores.min()))
+            done += len(up)
+        for n, i in enumerate(part):
+            out[i] = best[n]
+    return out
+
+
 def window_of(m: int, percent: int) -> tuple[bool, int]:
     """(whether windows are exact pieces, characters they span) of an item of m characters.
 
@@ -98,19 +157,55 @@ class Walks:
     def __init__(self, steps: int = 2 * SPANS[-1], seed: int = 11):
         self.bits, self.steps = np.random.default_rng(seed).integers(0, 2, (steps, 256)).astype(np.int64), steps
 
-    def keys(self, data: np.ndarray, starts: np.ndarray, exact: bool, spans: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(span, codes of the windows that start there, last character each has read), spans ascending; data ends in `steps` zeros. The codes are written on."""
-        at, h, step = starts.copy(), np.full(len(starts), 1 + exact, np.uint64), 0
-        last = at
-        for span in spans:
-            while step < (span if exact else 2 * span):
-                c = data.take(at)
-                h *= np.uint64(0x100000001B3)
-                h += c.view(np.uint64)
-                last = at
-                at = at + (1 if exact else self.bits[step].take(c))
-                step += 1
-            yield span, h, last
+    @cached_property
+    def twos(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of two steps at once, by the pair of characters there: what they add to the code, how far they move. Made in the task, not sent to it."""
+        first, second, out = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8, []
+        for step in range(0, self.steps, 2):
+            moved = self.bits[step].take(first)
+            read = np.where(moved, second, first)
+            out.append((first.astype(np.uint64) * _BASE + read.astype(np.uint64), (moved + self.bits[step + 1].take(read)).astype(np.int8)))
+        return out
+
+    def go(self, pairs: np.ndarray, at: np.ndarray, h: np.ndarray, exact: bool, steps: range) -> tuple[np.ndarray, np.ndarray]:
+        """(places, codes) after these steps, an even number of them unless exact; h is written on."""
+        if exact:
+            for _ in steps:
+                h *= _BASE
+                h += (pairs.take(at, mode="clip") & 255).view(np.uint64)
+                at = at + 1
+            return at, h
+        for step in steps[::2]:
+            pair = pairs.take(at, mode="clip")
+            h *= _BASE_2
+            add, move = self.twos[step // 2]
+            h += add.take(pair, mode="clip")
+            at = at + move.take(pair, mode="clip")
+        return at, h
+
+    def last(self, pairs: np.ndarray, at: np.ndarray, exact: bool, steps: range) -> np.ndarray:
+        """Place of the last character that these steps read."""
+        if exact:
+            return at + len(steps) - 1
+        at, _ = self.go(pairs, at, np.ones(len(at), np.uint64), exact, steps[:-2])
+        return at + self.bits[steps[-2]].take(pairs.take(at) & 255)
+
+
+def _start(n: int, exact: bool) -> np.ndarray:
+    """The codes of n windows before their first step."""
+    return np.full(n, 1 + exact, np.uint64)
+
+
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """Each character and its next one."""
+    pairs = data.copy()
+    pairs[:-1] += data[1:] << 8
+    return pairs
+
+
+def _steps(done: int, span: int, exact: bool) -> range:
+    """The steps of windows that span so many characters, after those that span `done`."""
+    return range(done, span) if exact else range(2 * done, 2 * span)
 
 
 def _key(codes: np.ndarray, span: int) -> np.ndarray:
@@ -129,12 +224,18 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
         n = min(_CHUNK, len(out) - lo)
         h = data[lo : lo + n].astype(np.uint64)
         for j in range(lo + 1, lo + q):
-            h *= np.uint64(0x100000001B3)
+            h *= _BASE
             h += data[j : j + n].view(np.uint64)
         out[lo : lo + n] = mix(h) >> np.uint64(64 - _GRAM_BITS)
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The values of x (none negative), ascending; np.unique hashes them, which takes several times as long."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=-1) > 0]
+
+
 def _buffer(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
 
@@ -170,22 +271,27 @@ class Items:
                     self.sets[k] = np.minimum(there, 255)
         keys, item, offset = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         self.bits = min(26, max(16, int(lengths.sum() * 16).bit_length()))
-        self.there = np.zeros(1 << self.bits, bool)
-        for (exact, span), members in sorted(of.items()):
+        self.there = np.zeros(1 << self.bits, np.uint8)
+        for exact, span in sorted(of):
             self.spans[exact].append(span)
+        for (exact, span), members in sorted(of.items()):
             for k in members:
                 text = self.texts[k][1]
                 # pieces lie side by side, walks start at each character and stop before the item's end
-                starts = np.arange(0, len(text), span if exact else 1)
-                for _, h, last in walks.keys(_buffer([text, pad]), starts, exact, [span]):
-                    use = np.flatnonzero(last < len(text))
-                    keys.append(_key(h[use], span))
-                    self.there[_cell(h[use], span, self.bits)] = True
-                    item.append(np.full(len(use), k))
-                    offset.append(starts[use])
+                starts, pairs = np.arange(0, len(text), span if exact else 1), _pairs(_buffer([text, pad]))
+                starts = starts[walks.last(pairs, starts, exact, _steps(0, span, exact)) < len(text)]
+                at, h, done = starts, _start(len(starts), exact), 0
+                for n in self.spans[exact][: self.spans[exact].index(span) + 1]:
+                    at, h = walks.go(pairs, at, h, exact, _steps(done, n, exact))
+                    self.there[_cell(h, n, self.bits)] |= _ENDS if n == span else _GOES_ON
+                    done = n
+                keys.append(_key(h, span))
+                item.append(np.full(len(starts), k))
+                offset.append(starts)
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
-        self.keys, self.item, self.offset = flat[order], np.concatenate(item)[order], np.concatenate(offset)[order]
+        self.item, self.offset = np.concatenate(item)[order], np.concatenate(offset)[order]
+        self.keys, self.first, self.often = np.unique(flat[order], return_index=True, return_counts=True)
 
     def candidates(self, texts: list[bytes]) -> list[dict[int, list[tuple[int, int]]]]:
         """Of each text, by item: the stretches in which it may be, ascending. All texts walk at once."""
@@ -201,30 +307,37 @@ class Items:
         for exact, spans in self.spans.items():
             stride = 1 if exact else STRIDE
             for lo in range(0, len(data) - len(pad) if spans else 0, _CHUNK * stride):
-                starts = np.arange(lo, min(lo + _CHUNK * stride, len(data) - len(pad)), stride)
-                for span, h, _ in self.walks.keys(data, starts, exact, spans):
-                    window = np.flatnonzero(self.there.take(_cell(h, span, self.bits)))
+                starts = np.arange(0, min(_CHUNK * stride, len(data) - len(pad) - lo), stride)
+                pairs = _pairs(data[lo : lo + _CHUNK * stride + len(pad) + 1])
+                at, h, done = starts, _start(len(starts), exact), 0
+                for span in spans:
+                    at, h = self.walks.go(pairs, at, h, exact, _steps(done, span, exact))
+                    done = span
+                    says = self.there.take(_cell(h, span, self.bits), mode="clip")
+                    window = np.flatnonzero(says & _ENDS)
                     key = _key(h[window], span)
-                    first = np.searchsorted(self.keys, key, "left")
-                    equal = self.keys.take(first, mode="clip") == key
-                    window, first, key = window[equal], first[equal], key[equal]
-                    if not len(window):
-                        continue
-                    n = np.searchsorted(self.keys, key, "right") - first
-                    j = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    at, k = np.repeat(starts[window], n), self.item[j]
-                    base = bases[np.searchsorted(bases, at, "right") - 1]
-                    start = np.maximum(at - base - self.offset[j], 0)
-                    met.append(np.unique(k * size + base + start // self.slack[k] * self.slack[k]))
-        k, at = np.divmod(np.unique(np.concatenate(met)), size)
+                    first = np.searchsorted(self.keys, key)
+                    equal = np.flatnonzero(self.keys.take(first, mode="clip") == key)
+                    window, first = starts[window[equal]] + lo, first[equal]
+                    n = self.often[first]
+                    j = np.repeat(self.first[first] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    window, k = np.repeat(window, n), self.item[j]
+                    base, slack = bases[np.searchsorted(bases, window, "right") - 1], self.slack[k]
+                    start = np.maximum(window - base - self.offset[j], 0)
+                    met.append(_distinct(k * size + base + start // slack * slack))
+                    # only what begins like a longer window goes on
+                    on = np.flatnonzero(says & _GOES_ON)
+                    starts, at, h = starts[on], at[on], h[on]
+        k, at = np.divmod(_distinct(np.concatenate(met)), size)
         n = np.searchsorted(bases, at, "right") - 1
         lo = np.maximum(at - self.slack[k], bases[n])
         hi = np.minimum(at + self.length[k] + 2 * self.slack[k], bases[n] + lengths[n])
         use = self._alike(data, k, lo, hi)
         for k, n, lo, hi in zip(k[use].tolist(), n[use].tolist(), (lo - bases[n])[use].tolist(), (hi - bases[n])[use].tolist()):
             q, grams = int(self.q[k]), self.grams[k]
-            here = Counter(filter(grams.__contains__, [texts[n][j : j + q] for j in range(lo, hi - q + 1)]))
-            if sum(min(c, grams[g]) for g, c in here.items()) < self.least[k]:
+            text, least = texts[n], int(self.least[k])
+            here = [g for j in range(lo, hi - q + 1) if (g := text[j : j + q]) in grams]
+            if len(set(here)) < least and sum(min(c, grams[g]) for g, c in Counter(here).items()) < least:
                 continue  # the same again, no q-gram more often than the item has it
             near = found[n].setdefault(k, [])
             if near and lo <= near[-1][1]:
@@ -243,13 +356,13 @@ class Items:
             for rest in np.split(own, np.flatnonzero(np.diff(k[own] >> 6)) + 1):
                 bits = self.bits_of[k[rest[0]] >> 6]
                 often = int(wide[rest].sum()) > len(codes)  # else bits are looked up where they are needed
-                there = bits.take(codes) if often else codes
+                there = bits.take(codes, mode="clip") if often else codes
                 while len(rest):
                     # the widest first, so many at once as a bounded table holds
                     width = max(1, int(wide[rest[-1]]))
                     part, rest = rest[-max(1, (1 << 17) // width) :], rest[: -max(1, (1 << 17) // width)]
                     got = np.lib.stride_tricks.sliding_window_view(there, width)[lo[part]]
-                    got = got if often else bits.take(got)
+                    got = got if often else bits.take(got, mode="clip")
                     got >>= (k[part] & 63).astype(np.uint64)[:, None]
                     got &= np.uint64(1)
                     # all are counted up to the width of the widest, which is no less, then those that reach it to their own ends
@@ -271,17 +384,21 @@ class Items:
             return np.count_nonzero(new & (code >= 0), axis=1) >= self.different[k]
         place = np.arange(code.shape[1], dtype=np.int32)
         again = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
-        of = self.sets.ravel().take(k[:, None] * self.sets.shape[1] + np.maximum(code, 0))
+        of = self.sets.ravel().take(k[:, None] * self.sets.shape[1] + np.maximum(code, 0), mode="clip")
         return np.count_nonzero((code >= 0) & (again < of), axis=1) >= self.least[k]
 
     def matches(self, text: bytes, candidates: dict[int, list[tuple[int, int]]], percent: int) -> dict[int, int]:
         """Edit distance to the nearest part of text, of each candidate within percent of its length."""
-        out: dict[int, int] = {}
-        for k, parts in candidates.items():
+        return self.all_matches([text], [candidates], percent)[0]
+
+    def all_matches(self, texts: list[bytes], candidates: list[dict[int, list[tuple[int, int]]]], percent: int) -> list[dict[int, int]]:
+        """The matches of each text with its candidates."""
+        out: list[dict[int, int]] = [{} for _ in texts]
+        parts = [(n, k, lo, hi) for n, near in enumerate(candidates) for k, stretches in near.items() for lo, hi in stretches]
+        for (n, k, _, _), d in zip(parts, edit_distances([(self.texts[k][1], texts[n][lo:hi]) for n, k, lo, hi in parts])):
             i, item = self.texts[k]
-            d = min(edit_distance(item, text[lo:hi]) for lo, hi in parts)
             if 100 * d <= percent * len(item):
-                out[i] = min(d, out.get(i, d))
+                out[n][i] = min(d, out[n].get(i, d))
         return out
 
 
@@ -321,9 +438,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                         texts.append(normalise(whole[lo].as_py()))
                         held += len(texts[-1])
                         lo += 1
-                    for text, near in zip(texts, items.candidates(texts)):
+                    for got in items.all_matches(texts, items.candidates(texts), percent):
                         j = len(out)
-                        got = items.matches(text, near, percent) if near else {}
                         was = (b.column(2)[j].as_py(), b.column(1)[j].as_py())
                         best = min([(d, i) for i, d in got.items()] + ([was] if was[0] is not None else []), default=(None, None))
                         out.append((best[1], best[0], b.column(3)[j].as_py() + len(got)))

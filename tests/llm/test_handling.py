@@ -150,3 +150,35 @@ def test_stretches_are_counted_as_one_by_one(packed):
     assert 0 < sum(want) < len(want)
     assert items._alike(data, k, lo, hi).tolist() == want
     assert items.bits_of.shape == (3, 1 << 15)  # one look-up for 64 items
+
+
+def test_walks_of_two_steps_read_the_same_and_only_beginnings_of_items_go_on(monkeypatch):
+    r = random.Random(8)
+    walks, data = decontaminate.Walks(), decontaminate._buffer([bytes(r.randrange(1, 256) for _ in range(500)), bytes(24)])
+    at, code = [], []
+    for start in range(500):  # step by step
+        p, c = start, 1
+        for step in range(24):
+            c = (c * 0x100000001B3 + int(data[p])) % (1 << 64)
+            p += int(walks.bits[step][data[p]])
+        at.append(p)
+        code.append(c)
+    got = walks.go(decontaminate._pairs(data), np.arange(500), np.ones(500, np.uint64), False, range(24))
+    assert got[0].tolist() == at and got[1].tolist() == code
+    text = lambda letters, n: "".join(r.choice(letters) for _ in range(n)).encode()
+    items = decontaminate.Items([(n, text("abcdef", n)) for n in (60, 90, 150, 240, 330)], walks)
+    walked, go = [], decontaminate.Walks.go
+    monkeypatch.setattr(decontaminate.Walks, "go", lambda self, pairs, at, *rest: walked.append(len(at)) or go(self, pairs, at, *rest))
+    docs = [text("uvwxyz", 20_000), text("uvwxyz", 500) + items.texts[4][1] + text("uvwxyz", 500)]
+    found = items.candidates(docs)
+    assert found[0] == {} and items.all_matches(docs, found, 20) == [{}, {330: 0}]
+    assert len(walked) > 2 and sum(walked[1:]) < 0.1 * walked[0]
+
+
+def test_edit_distances_side_by_side_are_those_of_each():
+    r = random.Random(4)
+    text = lambda n: bytes(r.choice(b"abc") for _ in range(n))
+    pairs = [(text(r.choice([0, 1, 7, 40, 300, 2500])), text(r.choice([0, 1, 50, 400]))) for _ in range(120)]
+    pairs += [(p, text(30) + p + text(9000)) for p in (text(20), text(64))]  # longer than the steps that are kept
+    assert decontaminate.edit_distances(pairs) == [decontaminate.edit_distance(*x) for x in pairs]
+    assert decontaminate.edit_distances([]) == []
