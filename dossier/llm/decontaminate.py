@@ -30,8 +30,8 @@ RECALL = 0.98
 SPANS, STRIDE = (5, 6, 7, 8, 9, 10, 11, 12), 2
 #: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
-#: Bytes of documents that walk together.
-PART_BYTES = 2 << 20
+#: Bytes of documents that walk together; tables of some 40 bytes for each stand in a worker's memory meanwhile.
+PART_BYTES = 512 << 10
 #: Bits of patterns that are searched for side by side, and steps whose bits are kept until scores are counted.
 _SIDE_BITS, _SIDE_STEPS = 2048, 4096
 #: Windows that walk at once, and bits of a q-gram's code.

@@ -6,9 +6,11 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import SCHEMA, table
 
@@ -182,3 +184,28 @@ def test_edit_distances_side_by_side_are_those_of_each():
     pairs += [(p, text(30) + p + text(9000)) for p in (text(20), text(64))]  # longer than the steps that are kept
     assert decontaminate.edit_distances(pairs) == [decontaminate.edit_distance(*x) for x in pairs]
     assert decontaminate.edit_distances([]) == []
+
+
+def test_decontamination_holds_little_of_a_batch_at_once(spark, monkeypatch):
+    """A batch of 4 MB, as a worker scans it: tables are made for a part of it at a time, and each planted item is found."""
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    said = lambda n: " ".join(r.choices(words, k=n))
+    items, texts = [said(40) for _ in range(20)], [said(3000) for _ in range(200)]
+    planted = {n: n % 20 for n in range(0, 200, 7)}
+    texts = [f"{t} {items[planted[n]]} {t[:500]}" if n in planted else t for n, t in enumerate(texts)]
+    assert sum(map(len, texts)) > 4_000_000
+    scans = []
+    monkeypatch.setattr(decontaminate, "in_arrow", lambda df, scan, schema: scans.append(scan) or df)
+    decontaminate.scan_documents(spark.createDataFrame([(0, "")], "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    rows = pa.StructArray.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    none = pa.nulls(200, pa.int64())
+    batch = pa.RecordBatch.from_arrays([rows, none, none, pa.array([0] * 200, pa.int64())], ["_row", "item_id", "distance", "n_items"])
+    tracemalloc.start()
+    try:
+        got = [x for b in scans[0](iter([batch])) for x in b.column(1).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [planted.get(n) for n in range(200)]
+    assert peak < 50e6, peak
