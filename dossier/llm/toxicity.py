@@ -34,6 +34,8 @@ DISGUISES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "
 LEET_COST, DROP_COST, REPEAT_COST, BREAK_COST, UNKNOWN_COST = 1.0, 0.7, 0.7, 4.0, 9.0
 #: Symbols of the language model: 0 between words, 1-26 letters, 27 any other letter, 28 anything else; order 4.
 _BITS, _ORDER = 5, 4
+#: N-grams that are counted at once.
+_CODES = 1 << 19
 _SEPARATORS = ".-_*~'` "
 _SINGLE_RUN = 3
 
@@ -82,11 +84,14 @@ def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part += [b"\n", t]
                     held += len(t)
             if part and (held > 4_000_000 or j == b.num_rows):
-                s = symbols(np.frombuffer(b"".join([*part, b"\n"]), np.uint8)).astype(np.int64)
-                code = s[: 1 - _ORDER].copy()
-                for k in range(1, _ORDER):
-                    code = (code << _BITS) | s[k : len(s) - _ORDER + 1 + k]
-                counts += np.bincount(code, minlength=len(counts))
+                said = symbols(np.frombuffer(b"".join([*part, b"\n"]), np.uint8))
+                for lo in range(0, len(said) - _ORDER + 1, _CODES):
+                    s = said[lo : lo + _CODES + _ORDER - 1].astype(np.int64)
+                    code = s[: 1 - _ORDER].copy()
+                    for k in range(1, _ORDER):
+                        code <<= _BITS
+                        code |= s[k : len(s) - _ORDER + 1 + k]
+                    counts += np.bincount(code, minlength=len(counts))
                 part, held = [], 0
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["code", "n"])

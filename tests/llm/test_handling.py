@@ -209,3 +209,26 @@ def test_decontamination_holds_little_of_a_batch_at_once(spark, monkeypatch):
         tracemalloc.stop()
     assert got == [planted.get(n) for n in range(200)]
     assert peak < 50e6, peak
+
+
+def test_ngrams_are_counted_in_little_memory():
+    """8 MB of texts, as a worker counts them: all n-grams of a run of texts, and tables for a part of them at a time."""
+    r = random.Random(6)
+    said = "".join(r.choice("abcdefgh .,1") for _ in range(100_000))
+    texts = [None, "", "a", *(said[n:] + said[:n] for n in range(0, 80_000, 1000))]
+    batch = pa.RecordBatch.from_arrays([pa.array([t and t.encode() for t in texts], pa.binary())], ["_text"])
+    tracemalloc.start()
+    try:
+        (got,) = toxicity._ngrams(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want, run = np.zeros(1 << 20, np.int64), []
+    for t in [*(t for t in texts if t), None]:  # runs end with the text that brings them over 4 MB
+        run += [t] * (t is not None)
+        if sum(map(len, run)) > 4_000_000 or t is None:
+            s = toxicity.symbols(np.frombuffer("".join(f"\n{x}" for x in run).encode() + b"\n", np.uint8)).astype(np.int64)
+            want += np.bincount(s[:-3] << 15 | s[1:-2] << 10 | s[2:-1] << 5 | s[3:], minlength=1 << 20)
+            run = []
+    assert got.column(0).to_pylist() == np.flatnonzero(want).tolist() and got.column(1).to_pylist() == want[want > 0].tolist()
+    assert peak < 60e6, peak
