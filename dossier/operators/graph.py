@@ -9,7 +9,7 @@ from dossier import fixed
 from dossier.functions import expr as E
 
 #: What a model answers for a piece of text.
-ANSWER = "struct<triples: array<struct<Head: string, Relation: string, Tail: string>>, events: array<struct<Event: string, Entity: array<string>>>>"
+TRIPLES, EVENTS = "triples: array<struct<Head: string, Relation: string, Tail: string>>", "events: array<struct<Event: string, Entity: array<string>>>"
 
 
 def _text(c) -> Column:
@@ -22,12 +22,18 @@ def parse_triples(answers: DataFrame) -> DataFrame:
     Triples with a blank part are left out; each entity of an event participates in it. An answer that is no JSON says nothing.
     seq orders all triples: a place in the answer is below 1,000, triples before events.
     """
-    a = answers.select("doc_id", "source_page", "sector", "seq", F.from_json("raw", ANSWER).alias("a"))
-    key = ["doc_id", "source_page", "sector", "seq"]
-    facts = a.select(*key, F.posexplode("a.triples").alias("k", "t")).select("doc_id", "source_page", "sector", (F.col("seq") * 1000 + F.col("k")).alias("seq"), _text("t.Head").alias("head"), _text("t.Relation").alias("relation"), _text("t.Tail").alias("tail"), F.lit("entity_relation").alias("triple_type"))
-    events = a.select(*key, F.posexplode("a.events").alias("k", "e")).select(*key, "k", _text("e.Event").alias("tail"), F.posexplode("e.Entity").alias("j", "head"))
-    events = events.select("doc_id", "source_page", "sector", (F.col("seq") * 1000 + 500 + F.col("k") * 20 + F.col("j")).alias("seq"), _text("head").alias("head"), F.lit("participates in").alias("relation"), "tail", F.lit("event_entity").alias("triple_type"))
-    return facts.unionByName(events).where("head <> '' and relation <> '' and tail <> ''")
+    key = ["doc_id", "source_page", "sector"]
+    # an answer is read once: what a generator returns is not copied into later steps, and an outer one gets no test of its input before joins
+    read = F.from_json("raw", f"struct<{TRIPLES}, {EVENTS}, bad: string>", {"columnNameOfCorruptRecord": "bad"})
+    a = answers.select(*key, "seq", "raw", F.inline_outer(F.array(read)))
+    # in an answer that is not wholly as expected, what is wrong with one list does not touch the other
+    alone = lambda c, kind: F.when(F.col("bad").isNull(), F.col(c)).otherwise(F.from_json("raw", f"struct<{kind}>")[c])
+    each = lambda c, made: F.coalesce(F.transform(c, made), F.array())
+    row = lambda seq, head, relation, tail, kind: F.struct(seq.alias("seq"), _text(head).alias("head"), relation.alias("relation"), _text(tail).alias("tail"), F.lit(kind).alias("triple_type"))
+    at = F.col("seq") * 1000
+    facts = each(alone("triples", TRIPLES), lambda t, k: row(at + k, t["Head"], _text(t["Relation"]), t["Tail"], "entity_relation"))
+    events = F.flatten(each(alone("events", EVENTS), lambda e, k: each(e["Entity"], lambda head, j: row(at + 500 + k * 20 + j, head, F.lit("participates in"), e["Event"], "event_entity"))))
+    return a.select(*key, F.inline_outer(F.concat(facts, events))).where("head <> '' and relation <> '' and tail <> ''")
 
 
 def kg_nodes(triples: DataFrame) -> DataFrame:
@@ -55,15 +61,15 @@ def concept_batches(triples: DataFrame) -> DataFrame:
 
     A document has few distinct items among its first ones: items are ranked after they are distinct, and each kind's ranks are cut.
     """
-    ends = triples.select("doc_id", F.lower("head").alias("item"), (F.col("seq") * 2).alias("o")).unionByName(triples.select("doc_id", F.lower("tail").alias("item"), (F.col("seq") * 2 + 1).alias("o")))
-    kinds = []
-    for rows, most, kind in ((ends, fixed.CONCEPT_ENTITIES, 0), (triples.select("doc_id", F.lower("relation").alias("item"), F.col("seq").alias("o")), fixed.CONCEPT_RELATIONS, 1)):
-        first = rows.where(F.trim("item") != "").groupBy("doc_id", "item").agg(F.min("o").alias("o"))
-        # a salt bounds what one task sorts; the second step has at most 32 times the cut of a document
-        cut = lambda g: F.slice(F.array_sort(F.collect_list(F.struct("o", "item"))), 1, most)  # noqa: B023, E731
-        parts = first.groupBy("doc_id", F.pmod(F.xxhash64("item"), F.lit(32)).alias("s")).agg(cut(0).alias("b")).select("doc_id", F.explode("b").alias("x")).select("doc_id", "x.*")
-        kinds.append(parts.groupBy("doc_id").agg(cut(0).alias("b")).select("doc_id", F.lit(kind).alias("kind"), F.transform("b", lambda x: x["item"]).alias("items")))
-    both = kinds[0].unionByName(kinds[1]).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kind", "items"))), lambda x: x["items"])).alias("items"))
+    said = lambda kind, c, o: F.struct(F.lit(kind).alias("kind"), F.lower(c).alias("item"), o.alias("o"))
+    items = triples.select("doc_id", F.inline(F.array(said(0, "head", F.col("seq") * 2), said(0, "tail", F.col("seq") * 2 + 1), said(1, "relation", F.col("seq")))))
+    first = items.where(F.trim("item") != "").groupBy("doc_id", "kind", "item").agg(F.min("o").alias("o"))
+    # a salt bounds what one task sorts; the second step has at most 32 times the cut of a document
+    most = F.when(F.col("kind") == 0, fixed.CONCEPT_ENTITIES).otherwise(fixed.CONCEPT_RELATIONS)
+    cut = F.slice(F.array_sort(F.collect_list(F.struct("o", "item"))), F.lit(1), most)
+    parts = first.groupBy("doc_id", "kind", F.pmod(F.xxhash64("item"), F.lit(32)).alias("s")).agg(cut.alias("b")).select("doc_id", "kind", F.explode("b").alias("x")).select("doc_id", "kind", "x.*")
+    kinds = parts.groupBy("doc_id", "kind").agg(cut.alias("b")).select("doc_id", "kind", F.transform("b", lambda x: x["item"]).alias("items"))
+    both = kinds.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("kind", "items"))), lambda x: x["items"])).alias("items"))
     return both.select("doc_id", F.posexplode("items").alias("place", "item")).select("doc_id", "item", F.floor(F.col("place") / fixed.CONCEPT_BATCH).cast("int").alias("batch"))
 
 
