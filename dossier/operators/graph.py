@@ -87,9 +87,13 @@ def concept_nodes(concepts: DataFrame) -> DataFrame:
 
 def kg_stats(triples: DataFrame, concepts: DataFrame) -> DataFrame:
     """doc_id, entities, triples, concepts: nodes, edges and concept nodes of each document, zeros kept."""
-    one = lambda rows, kind: rows.select("doc_id", F.lit(kind).alias("kind"))
-    rows = one(kg_nodes(triples), "entities").unionByName(one(kg_edges(triples), "triples")).unionByName(one(concept_nodes(concepts), "concepts"))
-    return rows.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("entities", "triples", "concepts")])
+    edges = triples.select("doc_id", F.lower("head").alias("head"), "relation", F.lower("tail").alias("tail")).distinct()
+    # nodes are the ends of edges, and each edge counts at its head
+    end = lambda c, n: F.struct(F.col(c).alias("name"), F.lit(n).alias("n"))
+    nodes = edges.select("doc_id", F.inline(F.array(end("head", 1), end("tail", 0)))).groupBy("doc_id", "name").agg(F.sum("n").alias("n"))
+    counts = nodes.groupBy("doc_id").agg(F.count("*").alias("entities"), F.sum("n").alias("triples"), F.lit(0).cast("long").alias("concepts"))
+    named = concept_nodes(concepts).groupBy("doc_id").agg(F.lit(0).cast("long").alias("entities"), F.lit(0).cast("long").alias("triples"), F.count("*").alias("concepts"))
+    return counts.unionByName(named).groupBy("doc_id").agg(*[F.sum(k).alias(k) for k in ("entities", "triples", "concepts")])
 
 
 # ---- upserts

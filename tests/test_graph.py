@@ -43,3 +43,10 @@ def test_one_odd_list_leaves_the_other(spark, triples, events, heads):
 def test_cut_answers_say_as_much_as_their_lists_alone(spark):
     raw = json.dumps({"triples": [TRIPLE], "events": [{"Event": "e", "Entity": None}, {"Event": "f", "Entity": ["z"]}]})
     assert graph.parse_triples(answers(spark, raw[: raw.rindex("[")])).count() == 0
+
+
+def test_stats_read_once(spark):
+    triples = graph.parse_triples(answers(spark, json.dumps({"triples": [TRIPLE, TRIPLE, TRIPLE | {"Relation": "near"}], "events": [EVENT]}), json.dumps({"triples": [TRIPLE | {"Head": "PIER"}]})))
+    concepts = spark.createDataFrame([("Metro", "d", ["x", "y"]), ("Metro", "e", ["z"])], "sector string, doc_id string, concepts array<string>")
+    got = graph.kg_stats(triples, concepts)
+    assert reads(got) == 2 and {tuple(r) for r in got.collect()} == {("d", 4, 4, 2), ("e", 0, 0, 1)}
