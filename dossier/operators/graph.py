@@ -38,10 +38,13 @@ def parse_triples(answers: DataFrame) -> DataFrame:
 
 def kg_nodes(triples: DataFrame) -> DataFrame:
     """doc_id, entity_id, label, node_type: the first mention of a label in a document names and types it; heads of events are typed as events."""
-    head = triples.select("doc_id", F.col("head").alias("label"), (F.col("seq") * 2).alias("o"), F.when(F.col("triple_type") == "event_entity", "event").otherwise("entity").alias("node_type"))
-    tail = triples.select("doc_id", F.col("tail").alias("label"), (F.col("seq") * 2 + 1).alias("o"), F.lit("entity").alias("node_type"))
-    first = head.unionByName(tail).groupBy("doc_id", F.concat_ws("::", "doc_id", F.lower("label")).alias("entity_id")).agg(F.min(F.struct("o", "label", "node_type")).alias("m"))
-    return first.select("doc_id", "entity_id", "m.label", "m.node_type")
+    head = F.struct(F.col("head").alias("label"), (F.col("seq") * 2).alias("o"), F.when(F.col("triple_type") == "event_entity", "event").otherwise("entity").alias("node_type"))
+    tail = F.struct(F.col("tail").alias("label"), (F.col("seq") * 2 + 1).alias("o"), F.lit("entity").alias("node_type"))
+    ends = triples.select("doc_id", F.inline(F.array(head, tail)))
+    # numbers are combined by hash; only the few spellings of a label are sorted
+    spelled = ends.groupBy("doc_id", F.lower("label").alias("name"), "label", "node_type", F.isnull("o")).agg(F.min("o").alias("o"))
+    first = spelled.groupBy("doc_id", "name").agg(F.min(F.struct("o", "label", "node_type")).alias("m"))
+    return first.select("doc_id", F.concat_ws("::", "doc_id", "name").alias("entity_id"), "m.label", "m.node_type")
 
 
 def kg_edges(triples: DataFrame) -> DataFrame:
