@@ -58,3 +58,8 @@ def test_nodes_read_once(spark):
     assert reads(got) == 1 and {tuple(r) for r in got.collect()} == {("d", "d::pier", "Pier", "entity"), ("d", "d::crew", "crew", "event"), ("d", "d::pour", "pour", "entity")}
     plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
     assert [line for line in plan if "HashAggregate" in line] and len([line for line in plan if "SortAggregate" in line]) <= 2  # only spellings are sorted
+
+
+def test_triples_read_once(spark):
+    got = graph.parse_triples(answers(spark, json.dumps({"triples": [TRIPLE], "events": [EVENT]})))
+    assert reads(got) == 1 and sorted((r.seq, r.head, r.relation, r.tail, r.triple_type) for r in got.collect()) == [(0, "Pier", "on", "pile", "entity_relation"), (500, "PIER", "participates in", "pour", "event_entity"), (501, "crew", "participates in", "pour", "event_entity")]
