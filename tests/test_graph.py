@@ -63,3 +63,8 @@ def test_nodes_read_once(spark):
 def test_triples_read_once(spark):
     got = graph.parse_triples(answers(spark, json.dumps({"triples": [TRIPLE], "events": [EVENT]})))
     assert reads(got) == 1 and sorted((r.seq, r.head, r.relation, r.tail, r.triple_type) for r in got.collect()) == [(0, "Pier", "on", "pile", "entity_relation"), (500, "PIER", "participates in", "pour", "event_entity"), (501, "crew", "participates in", "pour", "event_entity")]
+
+
+def test_edge_strings_read_once(spark):
+    got = graph.edge_strings(graph.parse_triples(answers(spark, json.dumps({"triples": [TRIPLE], "events": [EVENT]}))))
+    assert reads(got) == 1 and sorted(r.triple_string for r in got.collect()) == ["PIER participates in pour", "Pier on pile", "crew participates in pour"]
