@@ -49,9 +49,10 @@ def kg_nodes(triples: DataFrame) -> DataFrame:
 
 def kg_edges(triples: DataFrame) -> DataFrame:
     """One edge for each (head, relation, doc, tail); the last properties win."""
-    e = triples.select("doc_id", F.concat_ws("::", "doc_id", F.lower("head")).alias("head_id"), "relation", F.concat_ws("::", "doc_id", F.lower("tail")).alias("tail_id"), "seq", "source_page", "triple_type")
-    last = e.groupBy("doc_id", "head_id", "relation", "tail_id").agg(F.max(F.struct("seq", "source_page", "triple_type")).alias("m"))
-    return last.select("doc_id", "head_id", "relation", "tail_id", F.col("m.seq").alias("last_seq"), "m.source_page", "m.triple_type")
+    e = triples.select("doc_id", F.lower("head").alias("head"), "relation", F.lower("tail").alias("tail"), "seq", "source_page", "triple_type")
+    last = e.groupBy("doc_id", "head", "relation", "tail").agg(F.max(F.struct("seq", "source_page", "triple_type")).alias("m"))
+    made = lambda c: F.concat_ws("::", "doc_id", c).alias(f"{c}_id")
+    return last.select("doc_id", made("head"), "relation", made("tail"), F.col("m.seq").alias("last_seq"), "m.source_page", "m.triple_type")
 
 
 def edge_strings(triples: DataFrame) -> DataFrame:

@@ -68,3 +68,8 @@ def test_triples_read_once(spark):
 def test_edge_strings_read_once(spark):
     got = graph.edge_strings(graph.parse_triples(answers(spark, json.dumps({"triples": [TRIPLE], "events": [EVENT]}))))
     assert reads(got) == 1 and sorted(r.triple_string for r in got.collect()) == ["PIER participates in pour", "Pier on pile", "crew participates in pour"]
+
+
+def test_edges_read_once(spark):
+    got = graph.kg_edges(graph.parse_triples(answers(spark, json.dumps({"triples": [TRIPLE]}), json.dumps({"triples": [TRIPLE | {"Head": "PIER"}]}))))
+    assert reads(got) == 1 and [tuple(r) for r in got.collect()] == [("d", "d::pier", "on", "d::pile", 1000, 1, "entity_relation")]
